@@ -11,12 +11,17 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Arrow batches of long texts stay small; Spark's own limit is by rows.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_MOST = 4 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each SparkContext."""
+    """Send this package to the executors, once for each SparkContext, and bound the session's Arrow batches."""
     sc = spark.sparkContext
+    with contextlib.suppress(Exception):
+        spark.conf.set(BATCH_BYTES, BATCH_MOST)
     if getattr(sc, "_larkspur_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]

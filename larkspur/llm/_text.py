@@ -34,7 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
+def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
     """Consecutive parts of at most ``most`` bytes, or of one text that is longer."""
     if len(texts) == 0:
         return

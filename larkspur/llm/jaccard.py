@@ -9,14 +9,16 @@ Documents become sets of hashed 5-word shingles; equal sets are one node from th
 2. Reduced sets. With n shingles, any partner shares at least m = ceil(0.75 n) of them, so two linked nodes share at
    least SUBSET of their first n - m + SUBSET shingles in the order. Only those are indexed, and only shingles that
    two nodes share this way stay: the join has become one of reduced sets with at least SUBSET common elements.
-3. Light and heavy. A reduced set of size up to a boundary is light: all its subsets of SUBSET elements are
+3. Leaders. A pair within one component needs no comparison, since components are what is asked for. So each node
+   is first compared with one leader of each list that it is in, and large groups of copies fall together in linear
+   time. From then on only elements count whose lists still hold nodes of different components.
+4. Light and heavy. A reduced set of up to so many such elements is light: all its subsets of SUBSET elements are
    enumerated, and partners meet at an equal subset. Larger ones are heavy: the inverted lists of their elements are
    scanned and common elements counted. The boundary is the one with the lowest total cost, from the numbers of
    subsets and the list lengths of all reduced sets.
-4. Links. Nodes that meet at a subset or in a list are first compared with one leader of the list each, so large
-   groups of near copies fall together in linear time. Then, wherever a list still holds nodes of different
-   components, nodes of the smaller are compared with all of the larger component, in blocks of bounded size. A pair
-   within one component needs no comparison, since components are what is asked for.
+5. Links. Common shingles that the index does not show lie behind the front of one of the two sets, so the sizes tell
+   how many must be in front. Where a node and a larger component meet so often, the node is compared with the
+   component's nodes, in blocks of bounded size.
 
 A null text, an empty one and one of white space only has no shingles and links with nothing. Rows that repeat a
 doc_id are documents of their own with the same id. A null doc_id is never a component id unless all are null.
@@ -45,9 +47,10 @@ COUNT_PART = 8_000_000
 INDEX_PART = 1_000_000
 LIST_PART = 4096
 NEAR_LIST = 64
+SCAN = 0.05
 BLOCK = 256
 IDS_BOUND = 4_000_000
-_BUFFER = 4_000_000
+_BUFFER = 1_000_000
 
 
 def least_common(n: int) -> int:
@@ -58,6 +61,13 @@ def linked(common: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 100 * common >= PERCENT * (n + m - common)
 
 
+def least_in_front(n: Column, m: Column) -> Column:
+    """How many elements the reduced sets of two linked nodes of n and m shingles have in common at least."""
+    common = F.ceil((n + m) * PERCENT / (100 + PERCENT))
+    behind = F.ceil(F.greatest(n, m) * PERCENT / 100) - SUBSET
+    return F.greatest(common - behind, F.lit(SUBSET))
+
+
 def common_sorted(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) > len(b):
         a, b = b, a
@@ -168,7 +178,8 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, heavy: tuple[np.ndarra
 
 
 def shared_elements(table: DataFrame, bits: int) -> DataFrame:
-    """(node, size, token, df): elements of reduced sets that at least two nodes have, from an index in parts."""
+    """(node, size, token, df, leader): elements of reduced sets that at least two nodes have, from an index in parts, with
+    the length of each list and its leader (null for the leader itself and where the sizes rule out a link)."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of this task: a node's copies give its elements once
@@ -210,43 +221,50 @@ def shared_elements(table: DataFrame, bits: int) -> DataFrame:
         new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
         token, node, size = token[new], node[new], size[new]
         begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        df = np.diff(np.append(begin, len(token)))
-        df = np.repeat(df, df)
+        n = np.diff(np.append(begin, len(token)))
+        df = np.repeat(n, n)
+        # The leader of a short list is its first node, so that lists of the same nodes agree; of a long one any node,
+        # another for each list.
+        draw = np.where(df > NEAR_LIST, mix(node ^ mix(token)), np.uint64(0))
+        at = np.lexsort((node, draw, token))[np.repeat(begin, n)]
         keep = (df > 1) | (table.column("spread")[0].as_py() > 0)
-        return pa.table({"node": pa.array(node[keep].view(np.int64)), "size": pa.array(size[keep]), "token": pa.array(token[keep].view(np.int64)), "df": pa.array(df[keep], pa.int64())})
+        lead, small, large = node[at], np.minimum(size, size[at]).astype(np.int64), np.maximum(size, size[at]).astype(np.int64)
+        fits = (lead != node) & (100 * small >= PERCENT * large)
+        lead = pa.array(lead[keep].view(np.int64), mask=~fits[keep])
+        return pa.table({"node": pa.array(node[keep].view(np.int64)), "size": pa.array(size[keep]), "token": pa.array(token[keep].view(np.int64)), "df": pa.array(df[keep], pa.int64()), "leader": lead})
 
     index = table.select("node", "n", "prefix", "freq").mapInArrow(split, "part long, spread long, tokens binary, nodes binary, sizes binary")
-    return index.groupBy("part", "spread").applyInArrow(lists, "node long, size int, token long, df long")
+    return index.groupBy("part", "spread").applyInArrow(lists, "node long, size int, token long, df long, leader long")
 
 
-# -- 3. light and heavy -----------------------------------------------------------------------------------------
+# -- 4. light and heavy -----------------------------------------------------------------------------------------
 def boundary(reduced: DataFrame) -> int:
-    """The largest size of a light reduced set that makes the join cheapest; at most a few hundred rows are gathered."""
+    """The largest size of a light reduced set that makes the join cheapest; at most 300 rows are gathered. A subset
+    costs a row; an element a row and ``SCAN`` for each entry of its list."""
     size = F.least(F.col("pi"), F.lit(300))
     subsets = F.col("pi") * (F.col("pi") - 1) / 2
-    rows = reduced.groupBy(size.alias("pi")).agg(F.sum(subsets).alias("subsets"), F.sum("scan").cast("double").alias("scan")).collect()
-    rows = sorted((r["pi"], r["subsets"], r["scan"]) for r in rows if r["pi"] < 300)
+    rows = reduced.groupBy(size.alias("pi")).agg(F.sum(subsets).alias("subsets"), F.sum(F.col("pi") + SCAN * F.col("scan")).alias("scan")).collect()
+    rows = sorted((r["pi"], r["subsets"], r["scan"]) for r in rows)
     scan = sum(r[2] for r in rows)
     best, at, light = scan, 1, 0.0
     for pi, subsets, s in rows:
         light, scan = light + subsets, scan - s
-        if light + scan <= best:
+        if pi < 300 and light + scan <= best:
             best, at = light + scan, pi
     return at
 
 
 def meetings(reduced: DataFrame, limit: int) -> DataFrame:
-    """(key, node, size, weight, heavy): light sets under each subset (weight SUBSET) and each element, heavy ones
+    """(key, node, root, weight, heavy): light sets under each subset (weight SUBSET) and each element, heavy ones
     under each element (weight 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, node, size, weight, heavy = [], [], [], [], []
-            held = 0
+            key, node, root, weight, heavy, held = [], [], [], [], [], 0
 
             def out():
-                cols = [np.concatenate(x) for x in (key, node, size, weight, heavy)]
-                return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], names=["key", "node", "size", "weight", "heavy"])
+                cols = [np.concatenate(x) for x in (key, node, root, weight, heavy)]
+                return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], names=["key", "node", "root", "weight", "heavy"])
 
             for i in range(batch.num_rows):
                 token = np.sort(np.asarray(batch.column(2)[i].values).view(np.uint64))
@@ -261,23 +279,19 @@ def meetings(reduced: DataFrame, limit: int) -> DataFrame:
                 key.append(k.view(np.int64))
                 weight.append(np.concatenate(weights))
                 node.append(np.full(len(k), batch.column(0)[i].as_py(), np.int64))
-                size.append(np.full(len(k), batch.column(1)[i].as_py(), np.int32))
+                root.append(np.full(len(k), batch.column(1)[i].as_py(), np.int64))
                 heavy.append(np.full(len(k), not light))
                 held += len(k)
                 if held > 200_000:
                     yield out()
-                    key, node, size, weight, heavy, held = [], [], [], [], [], 0
+                    key, node, root, weight, heavy, held = [], [], [], [], [], 0
             if held:
                 yield out()
 
-    return reduced.select("node", "size", "tokens").mapInArrow(run, "key long, node long, size int, weight int, heavy boolean")
-
-
-# -- 4. links ---------------------------------------------------------------------------------------------------
-def _sizes_fit(a: Column, b: Column) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+    return reduced.select("node", "root", "tokens").mapInArrow(run, "key long, node long, root long, weight int, heavy boolean")
 
 
+# -- 3. and 5. links ---------------------------------------------------------------------------------------------------
 def sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
     """(node, shingles) of the wanted (node, doc_id). Up to IDS_BOUND ids are sent to every task; more are joined."""
     spark = docs.sparkSession
@@ -352,6 +366,42 @@ def verify_blocks(visits: DataFrame, members: DataFrame, sets: DataFrame) -> Dat
     return rows.groupBy("target", "block", "chunk").applyInArrow(run, "a long, b long")
 
 
+def dense_meetings(rows: DataFrame, reduced: DataFrame) -> DataFrame:
+    """rows: (key, node, members), nodes of lists with many components. (node, target): pairs of a list whose sizes
+    and common elements allow a link, from blocks of a list against each other; only such pairs leave a task."""
+    counts = rows.groupBy(F.col("key").alias("n_key")).agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("n_blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
+    rows = rows.join(counts, F.col("key") == F.col("n_key")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") <= F.col("other")).alias("first"), "node", "members")
+
+    def run(table: pa.Table) -> pa.Table:
+        col = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("one", "two", "first", "node", "members", "root", "size")}
+        tokens = [np.asarray(x.values) for x in table.column("tokens")]
+        flat, owner = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        n, across = col["size"].astype(np.int64), col["one"][0] != col["two"][0]
+        least, node, target = -(-n * PERCENT // 100), [], []
+        for i in range(len(tokens)):
+            left = np.searchsorted(flat, tokens[i])
+            width = np.searchsorted(flat, tokens[i], side="right") - left
+            at = np.repeat(left - (np.cumsum(width) - width), width) + np.arange(width.sum())
+            common = np.bincount(owner[at], minlength=len(tokens))
+            need = np.maximum(-(-(n + n[i]) * PERCENT // (100 + PERCENT)) - (np.maximum(least, least[i]) - SUBSET), SUBSET)
+            fits = (common >= need) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])) & (col["root"] != col["root"][i])
+            # The node of the smaller component visits the larger.
+            fits &= (col["members"] > col["members"][i]) | ((col["members"] == col["members"][i]) & (col["root"] > col["root"][i]))
+            if across:
+                fits &= col["first"] != col["first"][i]
+            found = np.unique(col["root"][fits])
+            node += [int(col["node"][i])] * len(found)
+            target += found.tolist()
+        return pa.table({"node": pa.array(node, pa.int64()), "target": pa.array(target, pa.int64())})
+
+    rows = rows.join(reduced.select("node", "root", "size", "tokens"), "node")
+    return rows.groupBy("key", "one", "two").applyInArrow(run, "node long, target long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs."""
     spark = docs.sparkSession
@@ -363,43 +413,61 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heavy = heavy_shingles(docs, text_col, bits)
     table = save(prefixes(docs, id_col, text_col, heavy, bits), "prefixes")
     shared = save(shared_elements(table, min(_parts(shingles / 4, INDEX_PART, least), 24)), "shared")
-    reduced = shared.groupBy("node").agg(F.first("size").alias("size"), F.collect_list("token").alias("tokens"), F.sum("df").alias("scan"), F.count("*").alias("pi")).where(f"pi >= {SUBSET}")
-    reduced = save(reduced, "reduced")
-    met = meetings(reduced, boundary(reduced))
-    # Elements are looked at only where a heavy set has them; two light sets meet at their subsets.
-    keys = met.groupBy("key", "weight").agg(F.count("*").alias("n"), F.max("heavy").alias("any_heavy"), F.min("node").alias("first_node"), F.min_by("node", F.xxhash64("node", "key")).alias("some_node"))
-    keys = keys.where(f"n > 1 and (weight = {SUBSET} or any_heavy)")
-    near = F.col("n") <= NEAR_LIST
-    keys = keys.select(F.col("key").alias("k"), F.when(near, F.col("first_node")).otherwise(F.col("some_node")).alias("leader"), F.when(near, F.lit(0)).otherwise(F.lit(SUBSET)).alias("bonus"), F.col("weight").alias("w"))
-    lists = save(met.join(keys, (F.col("key") == F.col("k")) & (F.col("weight") == F.col("w"))).select("key", "node", "size", "weight", "heavy", "leader", "bonus"), "lists")
-
-    nodes = table.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    nodes = table.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     nodes = save(nodes, "nodes")
-    pairs = lists.where("node != leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b"), "size").agg(F.sum(F.col("weight") + F.col("bonus")).alias("met")).where(f"met >= {SUBSET}")
-    pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("size_a")), "a").where(_sizes_fit(F.col("size"), F.col("size_a"))).select("a", "b")
-    pairs = save(pairs, "pairs")
-    touched = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = save(sets_of(docs, id_col, text_col, nodes.join(touched, "node", "left_semi")), "sets")
+
+    def known(rows: DataFrame) -> DataFrame:
+        return sets_of(docs, id_col, text_col, nodes.join(rows.distinct(), "node", "left_semi"))
+
+    enough = F.sum(F.when(F.col("df") > NEAR_LIST, SUBSET).otherwise(1)).alias("met")
+    pairs = save(shared.where("leader is not null").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(enough).where(f"met >= {SUBSET}").select("a", "b"), "pairs")
+    sets = save(known(pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), "sets")
     links = save(verify_pairs(pairs, sets), "links")
-    for t in (sets, pairs, shared, reduced):
-        drop(t)
+    drop(sets)
+    drop(pairs)
     roots = components(links)
 
-    named = lists.select("key", "node", "weight", "heavy").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = named.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("key")
-    named = save(named.join(mixed, "key", "left_semi"), "mixed")
+    named = save(shared.drop("leader").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    drop(shared)
+    mixed = named.groupBy("token").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("token")
+    open_ = named.join(mixed, "token", "left_semi").groupBy("node", "root", "size").agg(F.collect_list("token").alias("tokens"), F.sum("df").alias("scan"), F.count("*").alias("pi"))
+    reduced = save(open_.where(f"pi >= {SUBSET}"), "reduced")
+    drop(named)
+    met = meetings(reduced, boundary(reduced))
+    # Elements matter only where a heavy set has them: two light sets meet at their subsets.
+    keys = met.groupBy("key", "weight").agg((F.min("root") != F.max("root")).alias("mixed"), F.max("heavy").alias("any_heavy"))
+    keys = keys.where(f"mixed and (weight = {SUBSET} or any_heavy)").select(F.col("key").alias("k"), F.col("weight").alias("w"))
+    lists = save(met.join(keys, (F.col("key") == F.col("k")) & (F.col("weight") == F.col("w")), "left_semi"), "lists")
     weights = roots.groupBy("root").agg(F.count("*").alias("members"))
-    ranked = named.join(weights, "root", "left").withColumn("rank", F.struct(F.coalesce("members", F.lit(1)).alias("members"), F.col("root")))
-    there = ranked.groupBy("key", "rank").agg(F.max("heavy").alias("t_heavy")).select(F.col("key").alias("t_key"), F.col("rank").alias("t_rank"), "t_heavy")
-    seen = ranked.join(there, (F.col("key") == F.col("t_key")) & (F.col("t_rank") > F.col("rank")) & ((F.col("weight") == SUBSET) | F.col("heavy") | F.col("t_heavy")))
-    visits = seen.groupBy("node", F.col("t_rank.root").alias("target")).agg(F.sum("weight").alias("met")).where(f"met >= {SUBSET}").select("node", "target")
-    visits = save(visits, "visits")
-    lone = visits.select(F.col("target").alias("node")).join(roots, "node", "left_anti").distinct().select("node", F.col("node").alias("root"))
-    members = roots.unionByName(lone).join(visits.select(F.col("target").alias("root")).distinct(), "root", "left_semi")
-    touched = visits.select("node").union(members.select("node")).distinct()
-    sets = save(sets_of(docs, id_col, text_col, nodes.join(touched, "node", "left_semi")), "sets")
+    ranked = lists.join(weights, "root", "left").withColumn("rank", F.struct(F.coalesce("members", F.lit(1)).alias("members"), F.col("root")))
+    there = ranked.groupBy(F.col("key").alias("t_key"), F.col("rank").alias("t_rank")).agg(F.max("heavy").alias("t_heavy"))
+    tops = there.groupBy("t_key").agg(F.max("t_rank").alias("major"), (F.count("*") - 1).alias("others"))
+    ranked = save(ranked.join(tops, F.col("key") == F.col("t_key")).where("rank < major").drop("t_key", "members"), "ranked")
+    # With the largest component of its list each node meets once; the other components meet each other, pair by pair
+    # where they are few, in blocks where they are many.
+    major = ranked.select("node", F.col("major.root").alias("target"), "weight")
+    few = ranked.where(f"others between 2 and {NEAR_LIST}")
+    there = few.groupBy(F.col("key").alias("t_key"), F.col("rank").alias("t_rank")).agg(F.max("heavy").alias("t_heavy"))
+    apart = few.join(there, (F.col("key") == F.col("t_key")) & (F.col("t_rank") > F.col("rank")) & ((F.col("weight") == SUBSET) | F.col("heavy") | F.col("t_heavy")))
+    seen = major.union(apart.select("node", F.col("t_rank.root").alias("target"), "weight"))
+    dense = dense_meetings(ranked.where(f"others > {NEAR_LIST}").select("key", "node", F.col("rank.members").alias("members")), reduced)
+    # Elements that a node has in common with any one of a component are no more than it meets the component at; of
+    # two light sets the subsets tell how many.
+    visits = seen.groupBy("node", "target").agg(F.count_if(F.col("weight") == SUBSET).alias("subsets"), F.count_if(F.col("weight") != SUBSET).alias("elements"))
+    front = F.greatest(F.col("elements"), F.when(F.col("subsets") > 0, F.floor((1 + F.sqrt(1 + 8 * F.col("subsets"))) / 2)).otherwise(0))
+    spans = reduced.groupBy(F.col("root").alias("target")).agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    visits = visits.join(reduced.select("node", "size"), "node").join(spans, "target")
+    size, low, high = F.col("size"), F.greatest("low", F.ceil(F.col("size") * PERCENT / 100)), F.least("high", F.floor(F.col("size") * 100 / PERCENT))
+    # What is needed falls with the distance of the sizes, so the ends of the component's sizes tell the least.
+    need = F.least(least_in_front(size, low), least_in_front(size, high))
+    visits = visits.where((low <= high) & (front >= need)).select("node", "target")
+    visits = save(visits.union(dense).distinct(), "visits")
+    drop(lists)
+    drop(ranked)
+    members = save(reduced.select("node", "root").join(visits.select(F.col("target").alias("root")).distinct(), "root", "left_semi"), "members")
+    sets = save(known(visits.select("node").union(members.select("node"))), "sets")
     more = save(verify_blocks(visits, members, sets), "links")
-    for t in (sets, named, lists, visits):
+    for t in (sets, visits, members, reduced):
         drop(t)
     roots = components(links.unionByName(more)) if more.limit(1).count() else roots
     best = roots.join(nodes, "node").groupBy("root").agg(F.min("doc_id").alias("component"))

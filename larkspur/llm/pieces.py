@@ -360,7 +360,7 @@ def encode_nbest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         model = lattice(vocabulary)
         for batch in batches:
             at = 0
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), 2 << 20):
                 owner, rank, score, pieces = [], [], [], []
                 for i, paths in enumerate(model.encode(part, n)):
                     for r, (s, ids) in enumerate(paths or []):
@@ -400,7 +400,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         model = lattice(vocabulary)
         for batch in batches:
             at = 0
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), 2 << 20):
                 rows = []
                 for value, paths in zip(part, model.encode(part, n), strict=True):
                     if paths is None:
