@@ -1,0 +1,376 @@
+"""Key-value structures as long tables: every command is a transform of, or a query over, a DataFrame.
+
+Strings are (key, value, expire_at), hashes (key, field, value, field_expire_at), lists (key, pos, value), sets
+(key, member), sorted sets (key, member, score), streams (key, ms, seq, fields), pending entries (key, grp, ms, seq,
+consumer, delivered_at, deliveries), bitmaps (key, bit) and geo sets (key, member, lon, lat). Expiry is a column that
+is filtered when a table is read. Commands work on all keys of a table at once or on those in ``keys``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from larkspur.functions.spatial import GEO_UNITS, haversine
+
+
+# -- any table --------------------------------------------------------------------------------------------------
+def live(t: DataFrame, now: Column, expiry: str = "expire_at") -> DataFrame:
+    return t.where(F.col(expiry).isNull() | (F.col(expiry) > now))
+
+
+def glob(pattern: str) -> str:
+    """A KEYS pattern as a regular expression."""
+    out, i = "", 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "*":
+            out += ".*"
+        elif ch == "?":
+            out += "."
+        elif ch == "[" and "]" in pattern[i:]:
+            end = pattern.index("]", i)
+            out += "[" + pattern[i + 1 : end] + "]"
+            i = end
+        elif ch == "\\" and i + 1 < len(pattern):
+            i += 1
+            out += "\\Q" + pattern[i] + "\\E"
+        else:
+            out += "\\Q" + ch + "\\E"
+        i += 1
+    return f"(?s)^{out}$"
+
+
+def keys(t: DataFrame, pattern: str) -> DataFrame:
+    return t.select("key").distinct().where(F.col("key").rlike(glob(pattern)))
+
+
+def scan(t: DataFrame, after: str | None, count: int, pattern: str = "*") -> DataFrame:
+    """SCAN: the next keys in order behind a cursor key."""
+    found = keys(t, pattern)
+    return (found.where(F.col("key") > after) if after is not None else found).orderBy("key").limit(count)
+
+
+def exists(t: DataFrame, wanted: DataFrame) -> DataFrame:
+    return t.select("key").distinct().join(wanted.select("key").distinct(), "key", "left_semi")
+
+
+def delete(t: DataFrame, gone: DataFrame) -> DataFrame:
+    return t.join(gone.select("key").distinct(), "key", "left_anti")
+
+
+def dbsize(*tables: DataFrame) -> DataFrame:
+    out = tables[0].select("key")
+    for t in tables[1:]:
+        out = out.union(t.select("key"))
+    return out.agg(F.countDistinct("key").alias("n_keys"))
+
+
+def types(**tables: DataFrame) -> DataFrame:
+    """TYPE: (key, type) over the tables of a database."""
+    parts = [t.select("key", F.lit(kind).alias("type")).distinct() for kind, t in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def rename(t: DataFrame, old: str, new: str) -> DataFrame:
+    """RENAME: what the new key held goes."""
+    moved = t.where(F.col("key") == old).withColumn("key", F.lit(new))
+    return t.where(~F.col("key").isin(old, new)).unionByName(moved)
+
+
+def copy(t: DataFrame, source: str, target: str) -> DataFrame:
+    return t.where(F.col("key") != target).unionByName(t.where(F.col("key") == source).withColumn("key", F.lit(target)))
+
+
+def expire(t: DataFrame, wanted: Column, at: Column) -> DataFrame:
+    return t.withColumn("expire_at", F.when(wanted, at).otherwise(F.col("expire_at")))
+
+
+def persist(t: DataFrame, wanted: Column) -> DataFrame:
+    return expire(t, wanted, F.lit(None))
+
+
+def ttl(t: DataFrame, now: Column, wanted: DataFrame) -> DataFrame:
+    """Seconds to live: -1 without expiry, -2 for a key that is not there."""
+    left = wanted.select("key").distinct().join(t.select("key", "expire_at", F.lit(True).alias("there")).distinct(), "key", "left")
+    seconds = F.when(F.col("there").isNull(), -2).when(F.col("expire_at").isNull(), -1).otherwise(F.ceil(F.unix_micros(F.col("expire_at").cast("timestamp")) / 1e6 - F.unix_micros(now.cast("timestamp")) / 1e6))
+    return left.select("key", seconds.cast("long").alias("ttl"))
+
+
+# -- strings and hashes -----------------------------------------------------------------------------------------
+def put(t: DataFrame, rows: DataFrame, ids: list[str], only: str | None = None) -> DataFrame:
+    """SET, MSET, HSET, HMSET: rows take the place of those with their ids. ``nx`` only adds, ``xx`` only changes."""
+    if only == "nx":
+        return t.unionByName(rows.join(t.select(*ids), ids, "left_anti").select(*t.columns))
+    if only == "xx":
+        rows = rows.join(t.select(*ids), ids, "left_semi")
+    return t.join(rows.select(*ids), ids, "left_anti").select(*t.columns).unionByName(rows.select(*t.columns))
+
+
+def mget(t: DataFrame, wanted: DataFrame, ids: list[str], value: str = "value") -> DataFrame:
+    """MGET, HMGET: null for what is not there."""
+    return wanted.join(t.select(*ids, value), ids, "left")
+
+
+def incr(t: DataFrame, deltas: DataFrame, ids: list[str], value: str = "value", kind: str = "long") -> DataFrame:
+    """INCRBY, INCRBYFLOAT, HINCRBY: base rows and deltas are summed; a missing one starts at 0."""
+    rows = t.select(*ids, F.col(value).cast(kind).alias(value)).unionByName(deltas.select(*ids, F.col("delta").cast(kind).alias(value)))
+    return rows.groupBy(*ids).agg(F.sum(value).alias(value))
+
+
+def append(value: Column, tail: Column) -> Column:
+    return F.concat(F.coalesce(value, F.lit("")), tail)
+
+
+def getrange(value: Column, start: int, stop: int) -> Column:
+    """0-based, inclusive, negative from the end."""
+    n = F.char_length(value)
+    a = F.greatest(F.lit(start) if start >= 0 else n + start, F.lit(0))
+    b = F.least(F.lit(stop) if stop >= 0 else n + stop, n - 1)
+    return F.when(a > b, "").otherwise(F.substring(value, a + 1, b - a + 1))
+
+
+def setrange(value: Column, offset: int, new: str) -> Column:
+    """Padded with zero characters up to offset."""
+    return F.overlay(F.rpad(value, F.greatest(F.char_length(value), F.lit(offset)), F.lit("\0")), F.lit(new), F.lit(offset + 1))
+
+
+def hgetall(t: DataFrame) -> DataFrame:
+    return t.groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields"))
+
+
+# -- lists ------------------------------------------------------------------------------------------------------
+def _placed(t: DataFrame) -> DataFrame:
+    return t.withColumn("i", F.row_number().over(W.partitionBy("key").orderBy("pos")) - 1).withColumn("n", F.count("*").over(W.partitionBy("key")))
+
+
+def push(t: DataFrame, rows: DataFrame, left: bool = False) -> DataFrame:
+    """rows: (key, ord, value). Positions go on from the end, or down from the front, in order of ord."""
+    ends = t.groupBy("key").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    n = F.row_number().over(W.partitionBy("key").orderBy("ord"))
+    rows = rows.join(ends, "key", "left").withColumn("n", n)
+    pos = F.coalesce("lo", F.lit(0)) - F.col("n") if left else F.coalesce("hi", F.lit(-1)) + F.col("n")
+    return t.unionByName(rows.select("key", pos.cast("long").alias("pos"), "value"))
+
+
+def lrange(t: DataFrame, start: int, stop: int) -> DataFrame:
+    """Inclusive, negative from the end; also LTRIM."""
+    p = _placed(t)
+    a = F.lit(start) if start >= 0 else F.col("n") + start
+    b = F.lit(stop) if stop >= 0 else F.col("n") + stop
+    return p.where(F.col("i").between(a, b)).drop("i", "n")
+
+
+def lindex(t: DataFrame, i: int) -> DataFrame:
+    return lrange(t, i, i)
+
+
+def lset(t: DataFrame, i: int, value: Column) -> DataFrame:
+    p = _placed(t)
+    at = F.lit(i) if i >= 0 else F.col("n") + i
+    return p.withColumn("value", F.when(F.col("i") == at, value).otherwise(F.col("value"))).drop("i", "n")
+
+
+def pop(t: DataFrame, n: int = 1, left: bool = True) -> tuple[DataFrame, DataFrame]:
+    """What is popped, and what stays."""
+    p = _placed(t)
+    out = F.col("i") < n if left else F.col("i") >= F.col("n") - n
+    return p.where(out).drop("i", "n"), p.where(~out).drop("i", "n")
+
+
+def lpos(t: DataFrame, value: str, rank: int = 1, count: int = 1) -> DataFrame:
+    """Places of a value, from the rank-th match on, backwards for a negative rank; all for count 0."""
+    hit = _placed(t).where(F.col("value") == value)
+    order = F.col("i").asc() if rank > 0 else F.col("i").desc()
+    hit = hit.withColumn("m", F.row_number().over(W.partitionBy("key").orderBy(order)))
+    first = abs(rank)
+    return hit.where((F.col("m") >= first) & (F.lit(count == 0) | (F.col("m") < first + count))).select("key", F.col("i").cast("long").alias("place"))
+
+
+# -- sets -------------------------------------------------------------------------------------------------------
+def sadd(t: DataFrame, rows: DataFrame) -> DataFrame:
+    return t.select("key", "member").union(rows.select("key", "member")).distinct()
+
+
+def srem(t: DataFrame, rows: DataFrame) -> DataFrame:
+    return t.join(rows.select("key", "member"), ["key", "member"], "left_anti")
+
+
+def sunion(t: DataFrame, *names: str) -> DataFrame:
+    return t.where(F.col("key").isin(*names)).select("member").distinct()
+
+
+def sinter(t: DataFrame, *names: str) -> DataFrame:
+    return t.where(F.col("key").isin(*names)).groupBy("member").agg(F.countDistinct("key").alias("n")).where(F.col("n") == len(set(names))).select("member")
+
+
+def sdiff(t: DataFrame, first: str, *others: str) -> DataFrame:
+    return t.where(F.col("key") == first).select("member").distinct().join(t.where(F.col("key").isin(*others)).select("member"), "member", "left_anti")
+
+
+def smismember(t: DataFrame, wanted: DataFrame) -> DataFrame:
+    there = t.select("key", "member").distinct().withColumn("there", F.lit(1))
+    return wanted.join(there, ["key", "member"], "left").select("key", "member", F.coalesce("there", F.lit(0)).alias("is_member"))
+
+
+def srandmember(t: DataFrame, n: int, seed: int | None = None) -> DataFrame:
+    """n random members of each key; SPOP takes them out with ``srem``."""
+    return t.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy(F.rand(seed)))).where(F.col("r") <= n).drop("r")
+
+
+# -- sorted sets: by score, then member -------------------------------------------------------------------------
+def _ranked(t: DataFrame, rev: bool = False) -> DataFrame:
+    order = [F.col("score").desc(), F.col("member").desc()] if rev else ["score", "member"]
+    return t.withColumn("rank", (F.row_number().over(W.partitionBy("key").orderBy(*order)) - 1).cast("long"))
+
+
+def zadd(t: DataFrame, rows: DataFrame, mode: str | None = None) -> DataFrame:
+    """mode: nx only adds, xx only changes, gt and lt only raise or lower the score of a member that is there."""
+    new = rows.select("key", "member", F.col("score").alias("s"))
+    both = t.join(new, ["key", "member"], "full_outer")
+    there, comes = F.col("score").isNotNull(), F.col("s").isNotNull()
+    changed = {"nx": F.col("score"), "gt": F.greatest("score", "s"), "lt": F.least("score", "s")}.get(mode, F.col("s"))
+    out = both.withColumn("score", F.when(there & comes, changed).when(there, F.col("score")).otherwise(F.lit(None) if mode == "xx" else F.col("s")))
+    return out.where("score is not null").select("key", "member", "score")
+
+
+def zincrby(t: DataFrame, rows: DataFrame) -> DataFrame:
+    return incr(t, rows, ["key", "member"], "score", "double")
+
+
+def zrank(t: DataFrame, rev: bool = False) -> DataFrame:
+    return _ranked(t, rev).select("key", "member", "rank")
+
+
+def zrange(t: DataFrame, start: int, stop: int, rev: bool = False) -> DataFrame:
+    p = _ranked(t, rev).withColumn("n", F.count("*").over(W.partitionBy("key")))
+    a = F.lit(start) if start >= 0 else F.col("n") + start
+    b = F.lit(stop) if stop >= 0 else F.col("n") + stop
+    return p.where(F.col("rank").between(a, b)).drop("n")
+
+
+def score_range(low: str, high: str) -> Column:
+    """Bounds as the commands write them: "(1.5" leaves 1.5 out, "-inf" and "+inf" are open."""
+
+    def bound(text: str, less: bool) -> Column:
+        out = text.startswith("(")
+        x = float(text.lstrip("("))
+        s = F.col("score")
+        return (s > x if out else s >= x) if less else (s < x if out else s <= x)
+
+    return bound(low, True) & bound(high, False)
+
+
+def zrangebyscore(t: DataFrame, low: str, high: str, offset: int = 0, count: int | None = None) -> DataFrame:
+    found = _ranked(t.where(score_range(low, high)))
+    if count is not None:
+        found = found.where(F.col("rank").between(offset, offset + count - 1))
+    return found.select("key", "member", "score")
+
+
+def zcount(t: DataFrame, low: str, high: str) -> DataFrame:
+    return t.groupBy("key").agg(F.count_if(score_range(low, high)).alias("n"))
+
+
+def zpop(t: DataFrame, n: int = 1, largest: bool = False) -> tuple[DataFrame, DataFrame]:
+    p = _ranked(t, largest)
+    return p.where(F.col("rank") < n).drop("rank"), p.where(F.col("rank") >= n).drop("rank")
+
+
+# -- streams ----------------------------------------------------------------------------------------------------
+def xadd(rows: DataFrame) -> DataFrame:
+    """rows: (key, ms, ord, fields). Entries of one millisecond are numbered in order."""
+    seq = (F.row_number().over(W.partitionBy("key", "ms").orderBy("ord")) - 1).cast("long")
+    return rows.select("key", "ms", seq.alias("seq"), "fields")
+
+
+def _entry() -> Column:
+    return F.struct("ms", "seq")
+
+
+def xrange(t: DataFrame, first: tuple[int, int], last: tuple[int, int], count: int | None = None) -> DataFrame:
+    at = lambda e: F.struct(F.lit(e[0]).cast("long").alias("ms"), F.lit(e[1]).cast("long").alias("seq"))
+    found = t.where((_entry() >= at(first)) & (_entry() <= at(last)))
+    if count is not None:
+        found = found.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("ms", "seq"))).where(F.col("r") <= count).drop("r")
+    return found
+
+
+def xread(t: DataFrame, after: tuple[int, int], count: int | None = None) -> DataFrame:
+    """Entries behind an id."""
+    return xrange(t, (after[0], after[1] + 1), (2**63 - 1, 2**63 - 1), count)
+
+
+def xtrim(t: DataFrame, most: int) -> DataFrame:
+    """The newest entries of each key."""
+    order = W.partitionBy("key").orderBy(F.col("ms").desc(), F.col("seq").desc())
+    return t.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).drop("r")
+
+
+def xinfo(t: DataFrame) -> DataFrame:
+    ident = lambda e: F.concat_ws("-", e["ms"], e["seq"])
+    return t.groupBy("key").agg(F.count("*").alias("length"), F.min(_entry()).alias("a"), F.max(_entry()).alias("b")).select("key", "length", ident(F.col("a")).alias("first_id"), ident(F.col("b")).alias("last_id"))
+
+
+def xpending(delivered: DataFrame, acked: DataFrame) -> DataFrame:
+    """Entries that a group was given and has not acknowledged."""
+    return delivered.join(acked, ["key", "grp", "ms", "seq"], "left_anti")
+
+
+def xpending_summary(pending: DataFrame) -> DataFrame:
+    return pending.groupBy("key", "grp", "consumer").agg(F.count("*").alias("n"), F.min(F.struct("ms", "seq")).alias("first"), F.max(F.struct("ms", "seq")).alias("last")).select("key", "grp", "consumer", "n", F.col("first.ms").alias("first_ms"), F.col("last.ms").alias("last_ms"))
+
+
+def xclaim(pending: DataFrame, consumer: str, idle_ms: int, now_ms: Column) -> DataFrame:
+    """Entries idle for so long change hands."""
+    idle = now_ms - F.col("delivered_at") >= idle_ms
+    return pending.withColumn("consumer", F.when(idle, consumer).otherwise(F.col("consumer"))).withColumn("deliveries", F.col("deliveries") + idle.cast("int")).withColumn("delivered_at", F.when(idle, now_ms).otherwise(F.col("delivered_at")))
+
+
+# -- sketches, bits, geo ----------------------------------------------------------------------------------------
+def pfadd(t: DataFrame, value: str = "value") -> DataFrame:
+    return t.groupBy("key").agg(F.hll_sketch_agg(F.col(value), F.lit(14)).alias("sketch"))
+
+
+def pfcount(sketches: DataFrame) -> DataFrame:
+    return sketches.select("key", F.hll_sketch_estimate("sketch").alias("estimate"))
+
+
+def pfmerge(sketches: DataFrame, target: str) -> DataFrame:
+    return sketches.agg(F.hll_union_agg("sketch").alias("sketch")).select(F.lit(target).alias("key"), "sketch")
+
+
+def setbit(t: DataFrame, rows: DataFrame) -> DataFrame:
+    """t: (key, bit) of the bits that are 1; rows: (key, bit, value)."""
+    return t.join(rows.select("key", "bit"), ["key", "bit"], "left_anti").unionByName(rows.where("value = 1").select("key", "bit"))
+
+
+def bitcount(t: DataFrame, first: int = 0, last: int | None = None) -> DataFrame:
+    """Over bytes first to last."""
+    there = t.where(F.col("bit") >= first * 8)
+    there = there if last is None else there.where(F.col("bit") < (last + 1) * 8)
+    return there.groupBy("key").agg(F.countDistinct("bit").alias("n"))
+
+
+def bitop(op: str, t: DataFrame, *names: str) -> DataFrame:
+    """(bit): and, or, xor of keys."""
+    n = t.where(F.col("key").isin(*names)).distinct().groupBy("bit").agg(F.count("*").alias("n"))
+    keep = {"and": F.col("n") == len(set(names)), "or": F.col("n") > 0, "xor": F.col("n") % 2 == 1}[op]
+    return n.where(keep).select("bit")
+
+
+def geodist(a_lon: Column, a_lat: Column, b_lon: Column, b_lat: Column, unit: str = "m") -> Column:
+    return haversine(a_lon, a_lat, b_lon, b_lat) / GEO_UNITS[unit]
+
+
+def geosearch(t: DataFrame, lon: float, lat: float, radius: float, unit: str = "m", count: int | None = None) -> DataFrame:
+    """Members within a radius, nearest first for each key. A box of degrees prunes rows before distances are taken."""
+    reach = radius * GEO_UNITS[unit] / 6372797.560856 * 57.29577951308232
+    found = t.where(F.col("lat").between(lat - reach, lat + reach)).withColumn("dist", geodist(F.col("lon"), F.col("lat"), F.lit(lon), F.lit(lat), unit)).where(F.col("dist") <= radius)
+    if count is not None:
+        found = found.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("dist", "member"))).where(F.col("r") <= count).drop("r")
+    return found

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Adaptive execution picks join strategies and partition counts from sizes seen at run time.
@@ -22,3 +27,18 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
+
+
+def send_package(spark: SparkSession | None = None) -> None:
+    """Send this package to the executors, once for each SparkContext, so that Arrow functions find it there."""
+    spark = spark or SparkSession.active()
+    sc = spark.sparkContext
+    if getattr(sc, "_larkspur_sent", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="larkspur-")) / "larkspur_ship.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, os.path.join(root.name, p.relative_to(root)))
+    sc.addPyFile(str(target))
+    sc._larkspur_sent = True
