@@ -1,16 +1,15 @@
-"""Tables in the folder that all executors share, and code that they need."""
+"""Tables in the folder that all executors share."""
 
 from __future__ import annotations
 
 import contextlib
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larkspur.session import send_package
+
 #: Arrow batches of long texts stay small; Spark's own limit is by rows.
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_MOST = 4 << 20
@@ -18,19 +17,10 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each SparkContext, and bound the session's Arrow batches."""
-    sc = spark.sparkContext
+    """Send the package to the executors and bound the session's Arrow batches."""
+    send_package(spark)
     with contextlib.suppress(Exception):
         spark.conf.set(BATCH_BYTES, BATCH_MOST)
-    if getattr(sc, "_larkspur_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="larkspur-")) / "larkspur_ship.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, os.path.join(root.name, p.relative_to(root)))
-    sc.addPyFile(str(target))
-    sc._larkspur_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
