@@ -29,7 +29,9 @@ def search(docs: DataFrame, id_col: str, text_col: str, query: str, mode: str =
     spark = docs.sparkSession
     terms = spark.range(1).select(F.explode(F.array_distinct(tokens(F.lit(query)))).alias("term"))
     wanted = [r["term"] for r in terms.collect()]  # the words of one query
-    hits = postings(docs, id_col, text_col).where(F.col("term").isin(wanted))
+    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
+    held = F.filter("words", lambda w: w.isin(wanted)) if wanted else F.slice("words", 1, 0)
+    hits = words.select("id", F.size("words").alias("length"), F.explode(held).alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
     df = hits.groupBy(F.col("term").alias("d_term")).agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("n_docs"))
     scored = hits.join(df, F.col("term") == F.col("d_term")).join(total, F.lit(True))
