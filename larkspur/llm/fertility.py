@@ -4,8 +4,8 @@ A public vocabulary with byte fallback measures each text: characters per token,
 fallbacks, and the entropy of its tokens in bits, as a share of the largest that so many tokens can have. Bands of
 accepted values are made for each language (for each script where the language is null) from all documents that
 pass the base rules: the median plus or minus ``WIDTH`` robust deviations, never narrower than ``FLOOR``, and wider
-for short texts by ``NOISE`` over the root of their tokens. Groups of fewer than ``LEAST`` documents use the bands of
-all documents.
+for short texts by ``NOISE`` over the root of their tokens. Groups of fewer than ``LEAST`` documents, and those after
+the ``MOST_BANDS`` largest, use the bands of all documents; so the bands are few enough to send to every task.
 
 A null text has no words and fails the base rules; so does an empty one. Nothing is dropped: every row of the input
 has one of the output, repeated rows included, and extra columns stay as they are.
@@ -35,6 +35,7 @@ WIDTH = {"chars_per_token": 3.5, "fallback_share": 8.0, "token_entropy": 6.0}
 FLOOR = {"chars_per_token": 0.12, "fallback_share": 0.05, "token_entropy": 0.1}
 NOISE = {"chars_per_token": 1.0, "fallback_share": 0.5, "token_entropy": 0.5}
 LEAST = 50
+MOST_BANDS = 10_000
 _FIELDS = [
     ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()),
     ("n_repeat_words", pa.int64()), ("n_tokens", pa.int64()), ("chars_per_token", pa.float64()),
@@ -135,8 +136,8 @@ def fertility(text: Column, vocabulary: str = VOCABULARY) -> Column:
     return metrics(text)
 
 
-def with_verdict(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``docs`` with a struct column ``fertility``: the metrics, ``base_failed``, the metrics' ``verdict`` (the first
+def with_verdict(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", vocabulary: str = VOCABULARY, columns: list[str] | None = None) -> DataFrame:
+    """``docs`` (or those of its columns that are named) with a struct column ``fertility``: the metrics, ``base_failed``, the metrics' ``verdict`` (the first
     metric out of its band, or "ok") and ``kept``.
 
     The measured rows are written once to the shared folder, since the bands need all of them first.
@@ -146,7 +147,8 @@ def with_verdict(docs: DataFrame, text_col: str = "text", lang_col: str | None =
     group = F.coalesce(F.col(lang_col) if lang_col else F.lit(None).cast("string"), F.concat(F.lit("script:"), F.col("fertility.script")))
     measured = docs.withColumn("fertility", fertility(F.col(text_col), vocabulary))
     failed = (F.col("fertility.n_words") < MIN_WORDS) | (100 * F.col("fertility.n_repeat_words") > 50 * F.col("fertility.n_words"))
-    measured = save(measured.withColumn("fertility", F.struct("fertility.*", failed.alias("base_failed"), group.alias("band_of"))), "fertility")
+    measured = measured.withColumn("fertility", F.struct("fertility.*", failed.alias("base_failed"), group.alias("band_of")))
+    measured = save(measured.select(*(docs.columns if columns is None else columns), "fertility"), "fertility")
     good = measured.where(~F.col("fertility.base_failed")).select("fertility.*")
     # One row for each language or script, from partial sketches; the deviation is taken from quartiles, so one pass is enough.
     quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10000).alias(m) for m in METRICS]
@@ -157,8 +159,9 @@ def with_verdict(docs: DataFrame, text_col: str = "text", lang_col: str | None =
         limits.append(F.struct((F.col(m)[1] - half).alias("low"), (F.col(m)[1] + half).alias("high")).alias(m))
     limits = bands.select("band_of", "n", "everything", *limits)
     overall = limits.where("everything = 1").select(F.struct(*METRICS).alias("overall_bands"))
-    own = limits.where(f"everything = 0 and n >= {LEAST}").select(F.col("band_of").alias("own_band_of"), F.struct(*METRICS).alias("own_bands"))
-    joined = measured.join(own, measured["fertility"]["band_of"] == own["own_band_of"], "left").join(overall, F.lit(True), "left")
+    own = limits.where(f"everything = 0 and n >= {LEAST}").select(F.col("band_of").alias("own_band_of"), F.struct(*METRICS).alias("own_bands"), "n")
+    own = own.orderBy(F.col("n").desc(), "own_band_of").limit(MOST_BANDS).drop("n")
+    joined = measured.join(F.broadcast(own), measured["fertility"]["band_of"] == own["own_band_of"], "left").join(F.broadcast(overall), F.lit(True), "left")
     verdict = F.lit("ok")
     for m in reversed(METRICS):
         band = F.coalesce(F.col("own_bands")[m], F.col("overall_bands")[m])
@@ -179,4 +182,4 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str | None = "l
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     f = [F.col(f"fertility.{n}") for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "verdict", *METRICS)]
-    return with_verdict(docs).select("doc_id", *f)
+    return with_verdict(docs, columns=["doc_id"]).select("doc_id", *f)
