@@ -52,9 +52,9 @@ sql("filter_like", "SELECT p_partkey FROM part WHERE p_name ILIKE '%a%' AND p_ty
 sql("filter_null", "SELECT o_orderkey FROM orders WHERE nullif(o_orderstatus, 'F') IS NULL")
 sql("filter_case", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 1 ELSE 0 END AS building FROM customer")
 sql("filter_exists", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
-sql("filter_not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+sql("filter_not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 sql("filter_in_subquery", "SELECT n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')")
-sql("filter_not_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+sql("filter_not_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 sql("scalar_subquery", "SELECT p_partkey FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part)")
 sql("scalar_subquery_correlated", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_orders FROM customer")
 
@@ -89,7 +89,7 @@ sql("join_full", "SELECT s_suppkey, n_name, n_nationkey FROM supplier FULL JOIN
 sql("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 sql("join_natural", "SELECT n_nationkey, n_name, r_name FROM (SELECT n_nationkey, n_name, n_regionkey AS r_regionkey FROM nation) a NATURAL JOIN region")
 sql("join_using", "SELECT k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) a JOIN (SELECT r_regionkey AS k, r_name FROM region) b USING (k)")
-sql("join_theta", "SELECT a.p_partkey AS low, b.p_partkey AS high FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_retailprice < b.p_retailprice - 500")
+sql("join_theta", "SELECT a.p_partkey AS low, b.p_partkey AS high FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_retailprice < b.p_retailprice - 20")
 sql("join_semi", "SELECT s_suppkey FROM supplier LEFT SEMI JOIN nation ON s_nationkey = n_nationkey AND n_regionkey = 1", "SELECT s_suppkey FROM supplier SEMI JOIN nation ON s_nationkey = n_nationkey AND n_regionkey = 1")
 sql("join_anti", "SELECT doc_id FROM documents LEFT ANTI JOIN labels USING (doc_id)", "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
 sql("join_multi", "SELECT r_name, round(sum(l_extendedprice), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")

@@ -76,28 +76,28 @@ def constraint_fk(spark, sf_dir):
     return dml.violations(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "labels"), "doc_id").select("doc_id")
 
 
-@query("constraint_check", "SELECT p_partkey FROM part WHERE NOT (p_size > 0 AND p_retailprice < 1500)")
+@query("constraint_check", "SELECT p_partkey FROM part WHERE NOT (p_size > 0 AND p_retailprice < 1200)")
 def constraint_check(spark, sf_dir):
-    return dml.check_violations(table(spark, sf_dir, "part"), (F_("p_size") > 0) & (F_("p_retailprice") < 1500)).select("p_partkey")
+    return dml.check_violations(table(spark, sf_dir, "part"), (F_("p_size") > 0) & (F_("p_retailprice") < 1200)).select("p_partkey")
 
 
 # -- full text
 _STOP = "(" + ", ".join(f"'{w}'" for w in fulltext.STOPWORDS) + ")"
 _TOKENS = f"SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 2 AND w NOT IN {_STOP}) AS words FROM documents"
 _SEARCH = f"""WITH t AS ({_TOKENS}), p AS (SELECT doc_id, len(words) AS n, unnest(words) AS term FROM t),
-h AS (SELECT term, doc_id, n, count(*) AS tf FROM p WHERE term IN ('thed', 'areaning') GROUP BY ALL),
+h AS (SELECT term, doc_id, n, count(*) AS tf FROM p WHERE term IN ('thed', 'ering') GROUP BY ALL),
 d AS (SELECT term, count(*) AS df FROM h GROUP BY term)
 SELECT doc_id AS id, round(sum(tf / n::DOUBLE * ln((SELECT count(*) FROM documents) / df::DOUBLE)), 9) AS score FROM h JOIN d USING (term) GROUP BY doc_id"""
 
 
 @query("fulltext_search", _SEARCH)
 def fulltext_search(spark, sf_dir):
-    return fulltext.search(table(spark, sf_dir, "documents"), "doc_id", "text", "thed the areaning", top=None).select("id", F.round("score", 9).alias("score"))
+    return fulltext.search(table(spark, sf_dir, "documents"), "doc_id", "text", "thed the ering", top=None).select("id", F.round("score", 9).alias("score"))
 
 
 @query("fulltext_boolean_and", _SEARCH + " HAVING count(*) = 2")
 def fulltext_and(spark, sf_dir):
-    return fulltext.search(table(spark, sf_dir, "documents"), "doc_id", "text", "thed areaning", "and", None).select("id", F.round("score", 9).alias("score"))
+    return fulltext.search(table(spark, sf_dir, "documents"), "doc_id", "text", "thed ering", "and", None).select("id", F.round("score", 9).alias("score"))
 
 
 @query("fulltext_match", f"WITH t AS ({_TOKENS}) SELECT doc_id, round((len(list_filter(words, lambda w: w = 'thed')) + len(list_filter(words, lambda w: w = 'ering'))) / greatest(len(words), 1)::DOUBLE / 2, 9) AS score FROM t")
