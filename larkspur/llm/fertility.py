@@ -175,8 +175,10 @@ def with_verdict(docs: DataFrame, text_col: str = "text", lang_col: str | None =
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
-    """The documents that no rule rejects, with their own columns."""
-    return with_verdict(docs, text_col, lang_col).where("fertility.kept").select(*docs.columns)
+    """The documents that no rule rejects, with their own columns, whatever their names."""
+    own = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("own_row")
+    rows = docs.select(F.col(text_col).alias("text"), (F.col(lang_col) if lang_col else F.lit(None).cast("string")).alias("lang"), own)
+    return with_verdict(rows, columns=["own_row"]).where("fertility.kept").select("own_row.*")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

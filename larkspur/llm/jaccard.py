@@ -298,15 +298,19 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> D
     ids = wanted.select("doc_id").distinct()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     few = ids.limit(IDS_BOUND + 1).count() <= IDS_BOUND
-    held = spark.sparkContext.broadcast(np.sort(ids.toArrow().column(0).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64))) if few else None
-    if not few:
-        texts = texts.join(ids, "doc_id", "left_semi")
+    held = None
+    if few:
+        known = ids.where("doc_id is not null").toArrow().column(0).to_numpy().astype(np.int64)
+        held = spark.sparkContext.broadcast(np.sort(known))
+    else:
+        texts = texts.join(ids.withColumnRenamed("doc_id", "w_id"), F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if held is not None:
-                at = np.isin(batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64), held.value) if batch.column(0).null_count else np.isin(batch.column(0).to_numpy(), held.value)
-                batch = batch.filter(pa.array(at))
+                ids = batch.column(0).cast(pa.int64())
+                hit = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), held.value)
+                batch = batch.filter(pa.array(hit | ids.is_null().to_numpy(zero_copy_only=False)))
             for part in slices(batch.column(1)):
                 sets = shingle_sets(part, WORDS)
                 yield pa.record_batch([pa.array([set_keys(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
@@ -481,8 +485,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component, the one whose id names it (of rows that repeat that id, each)."""
     found = near_duplicates(docs, id_col, text_col).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    kept = found.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = found.select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

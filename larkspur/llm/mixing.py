@@ -49,7 +49,7 @@ def bit_length(size: Column) -> Column:
 
 def fill(rows: DataFrame, keys: list[str], total: Column, amount: str, limit: str, out: str) -> DataFrame:
     """Water filling: shares of ``total`` in proportion to ``amount``, none above ``limit``, within each of ``keys``."""
-    order = W.partitionBy(*keys).orderBy((F.col(limit) / F.col(amount)).asc_nulls_first(), F.col("fill_tie").asc_nulls_last())
+    order = W.partitionBy(*keys).orderBy(F.try_divide(F.col(limit), F.col(amount)).asc_nulls_first(), F.col("fill_tie").asc_nulls_last())
     whole = W.partitionBy(*keys)
     before = F.coalesce(F.sum(limit).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     rest = F.sum(amount).over(order.rowsBetween(0, W.unboundedFollowing))
@@ -57,7 +57,7 @@ def fill(rows: DataFrame, keys: list[str], total: Column, amount: str, limit: st
     rows = rows.withColumn("fill_full", full)
     used = F.sum(F.when(F.col("fill_full"), F.col(limit)).otherwise(0.0)).over(whole)
     free = F.sum(F.when(F.col("fill_full"), 0.0).otherwise(F.col(amount))).over(whole)
-    share = F.when(F.col("fill_full"), F.col(limit)).otherwise(F.greatest(total - used, F.lit(0.0)) * F.col(amount) / free)
+    share = F.when(F.col("fill_full"), F.col(limit)).otherwise(F.try_divide(F.greatest(total - used, F.lit(0.0)) * F.col(amount), free))
     return rows.withColumn(out, share).drop("fill_full")
 
 
@@ -112,7 +112,7 @@ def rank(sized: DataFrame, by_bits: DataFrame) -> DataFrame:
     b = by_bits.withColumnRenamed("source", "b_source").withColumnRenamed("bits", "b_bits")
     rows = sized.join(b, F.col("source").eqNullSafe(F.col("b_source")) & (bit_length(F.col("size")) == F.col("b_bits"))).drop("b_source", "b_bits")
     u, p = uniform(F.col("doc_id")), F.col("chance")
-    odds = (u / (1 - u)) / (p / (1 - p))
+    odds = F.try_divide(u / (1 - u), p / (1 - p))
     place = F.when(p > 0, odds / (1 + odds))
     return rows.withColumn("place", place).withColumn("bin", F.floor(F.col("place") * BINS).cast("int"))
 
