@@ -82,6 +82,13 @@ def rename(t: DataFrame, old: str, new: str) -> DataFrame:
     return t.where(~F.col("key").isin(old, new)).unionByName(moved)
 
 
+def renamenx(t: DataFrame, old: str, new: str) -> DataFrame:
+    """RENAMENX: nothing changes if the new key is there."""
+    taken = t.where(F.col("key") == new).select(F.lit(True).alias("_taken")).limit(1)
+    marked = t.join(taken, F.lit(True), "left")
+    return marked.withColumn("key", F.when((F.col("key") == old) & F.col("_taken").isNull(), new).otherwise(F.col("key"))).select(*t.columns)
+
+
 def copy(t: DataFrame, source: str, target: str) -> DataFrame:
     return t.where(F.col("key") != target).unionByName(t.where(F.col("key") == source).withColumn("key", F.lit(target)))
 
@@ -116,6 +123,13 @@ def mget(t: DataFrame, wanted: DataFrame, ids: list[str], value: str = "value")
     return wanted.join(t.select(*ids, value), ids, "left")
 
 
+def set_if(t: DataFrame, rows: DataFrame, ids: list[str], equal: bool = True) -> DataFrame:
+    """SET with IFEQ or IFNE: rows: (*ids, value, expected). Only rows that are there are compared."""
+    new = rows.select(*ids, F.col("value").alias("_new"), F.col("expected").alias("_expected"))
+    same = F.col("value") == F.col("_expected")
+    return t.join(new, ids, "left").withColumn("value", F.when(same if equal else ~same, F.col("_new")).otherwise(F.col("value"))).select(*t.columns)
+
+
 def incr(t: DataFrame, deltas: DataFrame, ids: list[str], value: str = "value", kind: str = "long") -> DataFrame:
     """INCRBY, INCRBYFLOAT, HINCRBY: base rows and deltas are summed; a missing one starts at 0."""
     rows = t.select(*ids, F.col(value).cast(kind).alias(value)).unionByName(deltas.select(*ids, F.col("delta").cast(kind).alias(value)))
@@ -331,6 +345,16 @@ def xclaim(pending: DataFrame, consumer: str, idle_ms: int, now_ms: Column) -> D
     return pending.withColumn("consumer", F.when(idle, consumer).otherwise(F.col("consumer"))).withColumn("deliveries", F.col("deliveries") + idle.cast("int")).withColumn("delivered_at", F.when(idle, now_ms).otherwise(F.col("delivered_at")))
 
 
+def xautoclaim(pending: DataFrame, consumer: str, idle_ms: int, now_ms: Column, after: tuple[int, int], count: int) -> DataFrame:
+    """XCLAIM of the first idle entries of each key and group from an id on."""
+    at = F.struct(F.lit(after[0]).cast("long").alias("ms"), F.lit(after[1]).cast("long").alias("seq"))
+    due = (_entry() >= at) & (now_ms - F.col("delivered_at") >= idle_ms)
+    order = W.partitionBy("key", "grp", due).orderBy("ms", "seq")
+    hit = due & (F.row_number().over(order) <= count)
+    marked = pending.withColumn("_hit", hit)
+    return marked.select(*[{"consumer": F.when(F.col("_hit"), consumer).otherwise(F.col("consumer")), "deliveries": F.col("deliveries") + F.col("_hit").cast("int"), "delivered_at": F.when(F.col("_hit"), now_ms).otherwise(F.col("delivered_at"))}.get(c, F.col(c)).alias(c) for c in pending.columns])
+
+
 # -- sketches, bits, geo ----------------------------------------------------------------------------------------
 def pfadd(t: DataFrame, value: str = "value") -> DataFrame:
     return t.groupBy("key").agg(F.hll_sketch_agg(F.col(value), F.lit(14)).alias("sketch"))
@@ -363,6 +387,24 @@ def bitop(op: str, t: DataFrame, *names: str) -> DataFrame:
     return n.where(keep).select("bit")
 
 
+def getbit(t: DataFrame, wanted: DataFrame) -> DataFrame:
+    there = t.select("key", "bit").distinct().withColumn("there", F.lit(1))
+    return wanted.join(there, ["key", "bit"], "left").select("key", "bit", F.coalesce("there", F.lit(0)).alias("value"))
+
+
+def bitnot(t: DataFrame, name: str) -> DataFrame:
+    """(bit): the bits of whole bytes that are 0 in a key."""
+    ones = t.where(F.col("key") == name).select("bit").distinct()
+    ends = ones.agg(F.max("bit").alias("top")).where("top is not null")
+    return ends.select(F.explode(F.sequence(F.lit(0).cast("long"), (F.floor(F.col("top") / 8) * 8 + 7).cast("long"))).alias("bit")).join(ones, "bit", "left_anti")
+
+
+def geoadd(t: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows out of the range of Web Mercator are refused, the others take the place of those with their ids."""
+    fit = rows.where(F.col("lon").between(-180, 180) & F.col("lat").between(-85.05112878, 85.05112878))
+    return put(t, fit, ["key", "member"])
+
+
 def geodist(a_lon: Column, a_lat: Column, b_lon: Column, b_lat: Column, unit: str = "m") -> Column:
     return haversine(a_lon, a_lat, b_lon, b_lat) / GEO_UNITS[unit]
 
