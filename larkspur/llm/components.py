@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from larkspur.llm._store import drop, save
 
+#: Parts that the nodes of one label are dealt out to.
+SALTS = 32
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): each node of some link with the smallest node that it reaches. Null ends and loops are ignored.
@@ -21,8 +24,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         around = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("root").alias("near"))
         step = labels.join(around, F.col("node") == F.col("u")).select("node", "root", F.least("root", "near").alias("next"))
-        jump = step.select(F.col("node").alias("via"), F.col("next").alias("far"))
-        new = step.join(jump, F.col("next") == F.col("via"), "left").select("node", F.least("next", F.coalesce("far", "next")).alias("root"), (F.least("next", F.coalesce("far", "next")) != F.col("root")).alias("changed"))
+        # A large component's nodes share one label, so its step goes to copies of the label's row, one for each salt.
+        heads = step.select(F.col("next").alias("head")).distinct()
+        moves = heads.join(step.select(F.col("node").alias("via"), F.col("next").alias("far")), F.col("head") == F.col("via")).where("far < head")
+        moves = moves.select("head", "far", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        own = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+        to = F.coalesce("far", "next")
+        new = step.join(moves, (F.col("next") == F.col("head")) & (own == F.col("salt")), "left").select("node", to.alias("root"), (to != F.col("root")).alias("changed"))
         new = save(new, "labels")
         changed = new.where("changed").limit(1).count()
         drop(labels)
