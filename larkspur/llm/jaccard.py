@@ -68,6 +68,13 @@ def least_in_front(n: Column, m: Column) -> Column:
     return F.greatest(common - behind, F.lit(SUBSET))
 
 
+def least_in_range(n: Column, low: Column, high: Column) -> Column:
+    """The least that ``least_in_front`` gives for n and a size from low to high. Below n it rises with the other size, so
+    low has its least there; above n it falls, but for the rounding, and is higher by 1 at least for a size less by 4:
+    the least is among the last four sizes."""
+    return F.least(least_in_front(n, low), *[least_in_front(n, F.greatest(high - k, low)) for k in range(4)])
+
+
 def common_sorted(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) > len(b):
         a, b = b, a
@@ -462,9 +469,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = reduced.groupBy(F.col("root").alias("target")).agg(F.min("size").alias("low"), F.max("size").alias("high"))
     visits = visits.join(reduced.select("node", "size"), "node").join(spans, "target")
     size, low, high = F.col("size"), F.greatest("low", F.ceil(F.col("size") * PERCENT / 100)), F.least("high", F.floor(F.col("size") * 100 / PERCENT))
-    # What is needed falls with the distance of the sizes, so the ends of the component's sizes tell the least.
-    need = F.least(least_in_front(size, low), least_in_front(size, high))
-    visits = visits.where((low <= high) & (front >= need)).select("node", "target")
+    visits = visits.where((low <= high) & (front >= least_in_range(size, low, high))).select("node", "target")
     visits = save(visits.union(dense).distinct(), "visits")
     drop(lists)
     drop(ranked)

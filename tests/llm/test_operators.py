@@ -105,6 +105,38 @@ def test_jaccard_on_chains_and_groups(spark, monkeypatch):
     assert found_components(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows)
 
 
+def test_jaccard_of_an_inner_size(spark):
+    # a (50 shingles) and b (55) share 45: 0.75 exactly, and 5 of those are in front. b's component has sizes 46 to 56,
+    # for whose ends a would need 6. The other 40 are in more than LIGHT documents, so they come last.
+    def texts(salt):
+        t, x = [f"t{salt}x{i}" for i in range(49)], [f"b{salt}x{i}" for i in range(10)]
+        a, b = [*t, *(f"a{i}" for i in range(5))], [*x, *t]
+        return [" ".join(w) for w in (a, b, ["c", *b], [*x[4:], *t[:42], "d0", "d1"])], " ".join(t[5:])
+
+    def leader(four):
+        nodes = [jaccard.set_keys(s)[0] % 2**64 for s in shingle_sets(pa.array(four), jaccard.WORDS)]
+        return nodes.index(min(nodes))
+
+    # c or d leads the lists that a and b are in, so the first step does not compare a with b.
+    four, common = next(x for x in map(texts, range(100)) if leader(x[0]) > 1)
+    rows = list(enumerate([*four, *(f"{words(200, k, 10**9)} {common}" for k in range(jaccard.LIGHT + 2))]))
+    want = brute_components(rows)
+    assert [(n, c) for _, n, c in sorted(want)[:4]] == [(50, 0), (55, 0), (56, 0), (46, 0)]
+    assert found_components(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
+def test_least_in_range_is_the_least(spark):
+    def least(n, m):
+        return max(-(-(n + m) * 75 // 175) - (-(-max(n, m) * 75 // 100) - jaccard.SUBSET), jaccard.SUBSET)
+
+    rows = []
+    for n in (3, 4, 10, 50, 51, 77, 150):
+        sizes = range(-(-n * 75 // 100), n * 100 // 75 + 1)
+        rows += [(n, low, high, min(least(n, m) for m in range(low, high + 1))) for low in sizes for high in sizes if low <= high]
+    df = spark.createDataFrame(rows, "n long, low long, high long, want long")
+    assert df.where(jaccard.least_in_range(F.col("n"), F.col("low"), F.col("high")) != F.col("want")).count() == 0
+
+
 def test_jaccard_of_nothing(spark, docs):
     assert found_components(docs.where("false")) == []
     assert jaccard.keep_one(docs).columns == docs.columns
