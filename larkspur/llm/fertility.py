@@ -4,8 +4,9 @@ A public vocabulary with byte fallback measures each text: characters per token,
 fallbacks, and the entropy of its tokens in bits, as a share of the largest that so many tokens can have. Bands of
 accepted values are made for each language (for each script where the language is null) from all documents that
 pass the base rules: the median plus or minus ``WIDTH`` robust deviations, never narrower than ``FLOOR``, and wider
-for short texts by ``NOISE`` over the root of their tokens. Groups of fewer than ``LEAST`` documents, and those after
-the ``MOST_BANDS`` largest, use the bands of all documents; so the bands are few enough to send to every task.
+for short texts by ``NOISE`` over the root of their tokens. The fewer documents a group has below ``LEAST``, the wider
+its band, by the root of LEAST / n, so nothing jumps at LEAST. The quartiles of fewer than ``JUDGES`` documents span
+them all; such a group's documents are judged by the band of their script, as much wider. Other scripts never judge.
 
 A null text has no words and fails the base rules; so does an empty one. Nothing is dropped: every row of the input
 has one of the output, repeated rows included, and extra columns stay as they are.
@@ -35,7 +36,7 @@ WIDTH = {"chars_per_token": 3.5, "fallback_share": 8.0, "token_entropy": 6.0}
 FLOOR = {"chars_per_token": 0.12, "fallback_share": 0.05, "token_entropy": 0.1}
 NOISE = {"chars_per_token": 1.0, "fallback_share": 0.5, "token_entropy": 0.5}
 LEAST = 50
-MOST_BANDS = 10_000
+JUDGES = 4
 _FIELDS = [
     ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()),
     ("n_repeat_words", pa.int64()), ("n_tokens", pa.int64()), ("chars_per_token", pa.float64()),
@@ -44,7 +45,13 @@ _FIELDS = [
 _TYPE = pa.struct(_FIELDS)
 _DDL = "struct<" + ",".join(f"{n}:{ {'int64': 'bigint', 'double': 'double', 'string': 'string'}[str(t)] }" for n, t in _FIELDS) + ">"
 #: First code points of blocks and the script they start; a rule of thumb by block, not the full Unicode table.
-_BLOCKS = ((0x41, "Latin"), (0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x900, "Indic"), (0xE00, "Thai"), (0x1100, "Hangul"), (0x1200, "Other"), (0x1E00, "Latin"), (0x2000, "Other"), (0x3040, "Kana"), (0x3100, "Other"), (0x3400, "Han"), (0xA000, "Other"), (0xAC00, "Hangul"), (0xD7B0, "Other"))
+_BLOCKS = (
+    (0x41, "Latin"), (0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x700, "Syriac"), (0x750, "Arabic"), (0x780, "Thaana"), (0x7C0, "Nko"),
+    (0x800, "Other"), (0x8A0, "Arabic"), (0x900, "Devanagari"), (0x980, "Bengali"), (0xA00, "Gurmukhi"), (0xA80, "Gujarati"), (0xB00, "Oriya"), (0xB80, "Tamil"), (0xC00, "Telugu"), (0xC80, "Kannada"),
+    (0xD00, "Malayalam"), (0xD80, "Sinhala"), (0xE00, "Thai"), (0xE80, "Lao"), (0xF00, "Tibetan"), (0x1000, "Myanmar"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x13A0, "Cherokee"),
+    (0x1400, "Syllabics"), (0x1680, "Other"), (0x1780, "Khmer"), (0x1800, "Mongolian"), (0x18B0, "Other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "Other"), (0x3040, "Kana"), (0x3100, "Other"),
+    (0x3400, "Han"), (0xA000, "Yi"), (0xA4D0, "Other"), (0xAC00, "Hangul"), (0xD7B0, "Other"),
+)
 _STARTS = np.array([b for b, _ in _BLOCKS])
 
 
@@ -136,6 +143,18 @@ def fertility(text: Column, vocabulary: str = VOCABULARY) -> Column:
     return metrics(text)
 
 
+def bands(good: DataFrame, by: str) -> DataFrame:
+    """(key, n, wider, and mid and half of each metric): a row for each value of ``by``, from partial sketches; the deviation
+    is taken from quartiles, so one pass is enough. A group of n documents is to have its halves ``wider`` times."""
+    quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10000).alias(m) for m in METRICS]
+    limits = []
+    for m in METRICS:
+        half = F.greatest(F.lit(FLOOR[m]), F.lit(WIDTH[m]) * (F.col(m)[2] - F.col(m)[0]) / F.lit(1.349))
+        limits.append(F.struct(F.col(m)[1].alias("mid"), half.alias("half")).alias(m))
+    wider = F.sqrt(F.greatest(F.lit(LEAST) / F.col("n"), F.lit(1.0))).alias("wider")
+    return good.groupBy(F.col(by).alias("key")).agg(*quartiles, F.count("*").alias("n")).select("key", "n", wider, *limits)
+
+
 def with_verdict(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", vocabulary: str = VOCABULARY, columns: list[str] | None = None) -> DataFrame:
     """``docs`` (or those of its columns that are named) with a struct column ``fertility``: the metrics, ``base_failed``, the metrics' ``verdict`` (the first
     metric out of its band, or "ok") and ``kept``.
@@ -150,28 +169,24 @@ def with_verdict(docs: DataFrame, text_col: str = "text", lang_col: str | None =
     measured = measured.withColumn("fertility", F.struct("fertility.*", failed.alias("base_failed"), group.alias("band_of")))
     measured = save(measured.select(*(docs.columns if columns is None else columns), "fertility"), "fertility")
     good = measured.where(~F.col("fertility.base_failed")).select("fertility.*")
-    # One row for each language or script, from partial sketches; the deviation is taken from quartiles, so one pass is enough.
-    quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10000).alias(m) for m in METRICS]
-    bands = good.rollup("band_of").agg(*quartiles, F.count("*").alias("n"), F.grouping("band_of").alias("everything"))
-    limits = []
-    for m in METRICS:
-        half = F.greatest(F.lit(FLOOR[m]), F.lit(WIDTH[m]) * (F.col(m)[2] - F.col(m)[0]) / F.lit(1.349))
-        limits.append(F.struct((F.col(m)[1] - half).alias("low"), (F.col(m)[1] + half).alias("high")).alias(m))
-    limits = bands.select("band_of", "n", "everything", *limits)
-    overall = limits.where("everything = 1").select(F.struct(*METRICS).alias("overall_bands"))
-    own = limits.where(f"everything = 0 and n >= {LEAST}").select(F.col("band_of").alias("own_band_of"), F.struct(*METRICS).alias("own_bands"), "n")
-    own = own.orderBy(F.col("n").desc(), "own_band_of").limit(MOST_BANDS).drop("n")
-    joined = measured.join(F.broadcast(own), measured["fertility"]["band_of"] == own["own_band_of"], "left").join(F.broadcast(overall), F.lit(True), "left")
+    own = save(bands(good, "band_of"), "bands")
+    scripts = save(bands(good, "script").drop("wider"), "bands")
+    # Joins, not broadcasts: Spark sends the tables of bands to every task only while they are small.
+    joined = measured.join(own.select(F.col("key").alias("own_key"), F.col("n").alias("own_n"), F.col("wider").alias("own_wider"), F.struct(*METRICS).alias("own_bands")), F.col("fertility.band_of") == F.col("own_key"), "left")
+    joined = joined.join(scripts.select(F.col("key").alias("script_key"), F.struct(*METRICS).alias("script_bands")), F.col("fertility.script") == F.col("script_key"), "left")
+    by_own = F.coalesce(F.col("own_n"), F.lit(0)) >= JUDGES
+    wider = F.coalesce("own_wider", F.sqrt(F.lit(float(LEAST))))
     verdict = F.lit("ok")
     for m in reversed(METRICS):
-        band = F.coalesce(F.col("own_bands")[m], F.col("overall_bands")[m])
+        band = F.when(by_own, F.col("own_bands")[m]).otherwise(F.col("script_bands")[m])
+        half = band["half"] * wider
         value = F.col("fertility")[m]
         noise = F.lit(NOISE[m]) / F.sqrt(F.greatest(F.col("fertility.n_tokens"), F.lit(1)))
-        out_of = (value > band["high"] + noise) | ((value < band["low"] - noise) & F.lit(m != "fallback_share"))
+        out_of = (value > band["mid"] + half + noise) | ((value < band["mid"] - half - noise) & F.lit(m != "fallback_share"))
         verdict = F.when(F.coalesce(out_of, F.lit(False)), m).otherwise(verdict)
     ok = joined.withColumn("_verdict", verdict)
     kept = ~F.col("fertility.base_failed") & (F.col("_verdict") == "ok")
-    return ok.withColumn("fertility", F.struct("fertility.*", F.col("_verdict").alias("verdict"), kept.alias("kept"))).drop("_verdict", "own_bands", "overall_bands", "own_band_of")
+    return ok.withColumn("fertility", F.struct("fertility.*", F.col("_verdict").alias("verdict"), kept.alias("kept"))).drop("_verdict", "own_key", "own_n", "own_wider", "own_bands", "script_key", "script_bands")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:

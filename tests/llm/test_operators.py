@@ -177,6 +177,21 @@ def test_odd_fertility_is_rejected(spark):
     assert [r.doc_id for r in fertility.with_verdict(rows).where("not fertility.kept").collect()] == [999]
 
 
+def test_small_groups_are_not_judged_by_other_scripts(spark):
+    def odd(seed):
+        r = random.Random(seed)
+        return " ".join("".join(r.choice("ཀཁགངཅཆཇཉཏཐདན") for _ in range(r.randint(2, 6))) for _ in range(80))
+
+    rows = [(i, words(100, i, 4000), "en") for i in range(200)]
+    rows += [(1000 + i, odd(i), "bo") for i in range(49)] + [(2000 + i, odd(100 + i), f"one{i}") for i in range(2)] + [(3000 + i, odd(200 + i), None) for i in range(5)]
+    # Junk goes in a small group, and in one of a single document too.
+    rows += [(4000 + i, words(100, 300 + i, 4000), "xx") for i in range(20)] + [(4999, " ".join("ཀག" * 3 for _ in range(60)), "xx")]
+    junk = " ".join(f"w{i}" + "\u02f0\u02f1" * 5 for i in range(60))
+    rows += [(5000, junk, "yy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in fertility.with_verdict(df).where("not fertility.kept").collect()) == [4999, 5000]
+
+
 # -- 3
 def test_token_counts(docs):
     from tokenizers import Tokenizer
