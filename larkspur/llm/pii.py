@@ -31,6 +31,11 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN_LENGTH = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 "
+    "IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 "
+    "SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"""(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*["']?([A-Za-z0-9_/+=-]{16,})""")
 _NOT_DIGIT = re.compile(r"[^0-9]")
@@ -90,6 +95,21 @@ def _email_spans(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", at + 1)
 
 
+def _iban_spans(text: str) -> Iterator[tuple[int, int]]:
+    # A match runs on over the tokens behind, so the end at the country's length is tried first, then the whole. If
+    # neither holds, an IBAN may still begin within it.
+    at = 0
+    while m := _IBAN.search(text, at):
+        a, b = m.span()
+        places = [i for i in range(a, b) if text[i] != " "]
+        n = _IBAN_LENGTH.get(m[0][:2], len(places))
+        ends = [places[n - 1] + 1] if n < len(places) and text[places[n - 1] + 1] == " " else []
+        end = next((e for e in [*ends, b] if mod97(text[a:e])), None)
+        if end:
+            yield a, end
+        at = end or a + 1
+
+
 def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
     for a, b in _email_spans(text):
         yield "email", a, b
@@ -103,9 +123,8 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 9 <= len(_NOT_DIGIT.sub("", m[0])) <= 15:
                 yield "phone", *m.span()
-    for m in _IBAN.finditer(text):
-        if mod97(m[0]):
-            yield "iban", *m.span()
+    for a, b in _iban_spans(text):
+        yield "iban", a, b
     for m in _SSN.finditer(text):
         yield "ssn", *m.span()
     for m in _SECRET.finditer(text):

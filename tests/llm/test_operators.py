@@ -239,6 +239,19 @@ def test_added_spans_and_redaction(docs):
     assert pii.redact(clashing(docs)).columns == clashing(docs).columns
 
 
+def test_iban_before_other_tokens():
+    def found(t):
+        return [t[s.start : s.end] for s in pii.find_spans(t) if s.kind == "iban"]
+
+    de, spaced, no, be = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO9386011117947", "BE68539007547034"
+    assert found(f"IBAN {de} BIC COBADEFFXXX") == [de]
+    assert found(f"{spaced} IN 2024") == [spaced]
+    assert found(f"{no} {be}") == [no, be]
+    assert found(f"AB12 CDEF GH {spaced} X") == [spaced]
+    assert found(f"{de[:-1]}1 BIC COBADEFFXXX") == []
+    assert pii.redact_text(f"IBAN {de} BIC COBADEFFXXX") == "IBAN [IBAN] BIC COBADEFFXXX"
+
+
 # -- 1
 def test_language(spark):
     r, syllables = random.Random(3), {"aa": ["tor", "ent", "ing"], "bb": ["schu", "keit", "ver"], "cc": ["ción", "que", "ado"]}
