@@ -34,8 +34,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, score, n_pieces, pieces): the best segmentation of each document; copies stay rows of their own."""
-    return pieces.encode_nbest(docs, n=1).select("doc_id", "score", "n_pieces", "pieces")
+    """(doc_id, score, n_pieces, pieces, other_scores, other_pieces, round_trip): the best segmentation of each document,
+    the others of the N_BEST, and whether all decode to the text; copies stay rows of their own."""
+    return pieces.encode_decode(docs)
 
 
 STAGES = [

@@ -390,6 +390,32 @@ def decode_pieces(rows: DataFrame, pieces_col: str = "pieces", out_col: str = "t
     return rows.withColumn(out_col, F.arrow_udf(run, "string")(F.col(pieces_col)))
 
 
+def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N_BEST, vocabulary: str = VOCABULARY) -> DataFrame:
+    """A row for each text that is not null: the best segmentation with its score, the scores and the pieces of the other
+    n - 1, best first, and whether every one of them decodes to the text."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = lattice(vocabulary)
+        for batch in batches:
+            at = 0
+            for part in slices(batch.column(1)):
+                owner, rows = [], []
+                for i, (value, paths) in enumerate(zip(part, model.encode(part, n), strict=True)):
+                    if paths is None:
+                        continue
+                    text = value.as_py()
+                    owner.append(at + i)
+                    pieces = [ids.astype(np.int32) for _, ids in paths]
+                    rows.append((round(paths[0][0], 6), len(pieces[0]), pieces[0], [round(s, 6) for s, _ in paths[1:]], pieces[1:], all(model.decode(x) == text for x in pieces)))
+                kinds = [pa.float64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.list_(pa.int32())), pa.bool_()]
+                made = [pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)]
+                yield pa.record_batch([batch.column(0).take(pa.array(owner, pa.int64())), *made], names=["doc_id", "score", "n_pieces", "pieces", "other_scores", "other_pieces", "round_trip"])
+                at += len(part)
+
+    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, score double, n_pieces int, pieces array<int>, other_scores array<double>, other_pieces array<array<int>>, round_trip boolean")
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N_BEST, vocabulary: str = VOCABULARY) -> DataFrame:
     """A row for each text: pieces in the best segmentation, SHA-256 of its pieces (32-bit little-endian), the n best
     scores, the piece counts of all n, SHA-256 of the other segmentations, and whether every one of them decodes to

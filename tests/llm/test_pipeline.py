@@ -32,6 +32,19 @@ def test_stages_by_hand(spark, tmp_path):
         assert x.pieces == model.encode(pa.array([kept[x.doc_id].text]), 1)[0][0][1].tolist() and x.n_pieces == len(x.pieces)
 
 
+def test_last_stage_encodes_n_best_and_decodes(spark):
+    texts = [" ".join(f"w{random.Random(k).randrange(3000)}" for _ in range(20)) for k in range(5)] + ["", "é漢 ▁x\ny", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = {x.doc_id: x for x in corpus_pipeline.sentencepiece_ids(spark, docs, "").collect()}
+    assert sorted(rows) == list(range(7))
+    model = pieces.lattice()
+    for i, x in rows.items():
+        best, *others = model.encode(pa.array([texts[i]]))[0]
+        assert x.pieces == best[1].tolist() and x.n_pieces == len(x.pieces) and x.round_trip
+        assert x.other_pieces == [p.tolist() for _, p in others] and x.other_scores == [round(s, 6) for s, _ in others]
+    assert all(len(rows[i].other_pieces) == pieces.N_BEST - 1 for i in range(5))
+
+
 def test_registry():
     assert [f"op{n}_" in " ".join(queries.QUERIES) for n in range(1, 11)] == [True] * 10
     assert len(corpus_pipeline.STAGES) == 5 and set(queries.ORACLES) <= set(queries.QUERIES)
