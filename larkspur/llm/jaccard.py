@@ -10,18 +10,24 @@ Documents become sets of hashed 5-word shingles; equal sets are one node from th
    least SUBSET of their first n - m + SUBSET shingles in the order. Only those are indexed, and only shingles that
    two nodes share this way stay: the join has become one of reduced sets with at least SUBSET common elements.
 3. Leaders. A pair within one component needs no comparison, since components are what is asked for. So each node
-   is first compared with one leader of each list that it is in, and large groups of copies fall together in linear
-   time. From then on only elements count whose lists still hold nodes of different components.
+   is first compared with the LEADERS leaders of each list that it is in, and large groups of copies fall together in
+   linear time. A list's leaders are its least nodes in LEADERS orders that all lists share, so lists with much the
+   same nodes, of whatever length, mostly agree in them. Of a node's links one stays; its other leaders are chained to
+   that one, once for all nodes, which keeps the components. From then on only elements count whose lists still hold
+   nodes of different components.
 4. Light and heavy. A reduced set of up to so many such elements is light: all its subsets of SUBSET elements are
    enumerated, and partners meet at an equal subset. Larger ones are heavy: the inverted lists of their elements are
    scanned and common elements counted. The boundary is the one with the lowest total cost, from the numbers of
    subsets and the list lengths of all reduced sets.
 5. Links. Common shingles that the index does not show lie behind the front of one of the two sets, so the sizes tell
    how many must be in front. Where a node and a larger component meet so often, the node is compared with the
-   component's nodes, in blocks of bounded size.
+   component's nodes, in blocks of bounded size. However many blocks find a link, the two components are joined once.
+
+A set is told by a 64-bit digest, and where two different sets share one, as a second digest tells, by both.
 
 A null text, an empty one and one of white space only has no shingles and links with nothing. Rows that repeat a
-doc_id are documents of their own with the same id. A null doc_id is never a component id unless all are null.
+doc_id are documents of their own with the same id. A null doc_id is never a component id unless all are null. An empty
+table gives an empty one; extra columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -46,7 +52,8 @@ HEAVY_BOUND = 2_000_000
 COUNT_PART = 8_000_000
 INDEX_PART = 1_000_000
 LIST_PART = 4096
-NEAR_LIST = 64
+LEADERS = 2
+APART = 64
 SCAN = 0.05
 BLOCK = 256
 IDS_BOUND = 4_000_000
@@ -185,8 +192,8 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, heavy: tuple[np.ndarra
 
 
 def shared_elements(table: DataFrame, bits: int) -> DataFrame:
-    """(node, size, token, df, leader): elements of reduced sets that at least two nodes have, from an index in parts, with
-    the length of each list and its leader (null for the leader itself and where the sizes rule out a link)."""
+    """(node, size, token, df, leaders): elements of reduced sets that at least two nodes have, from an index in parts, with
+    the length of each list and its leaders (null for the leader itself and where the sizes rule out a link)."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of this task: a node's copies give its elements once
@@ -230,18 +237,22 @@ def shared_elements(table: DataFrame, bits: int) -> DataFrame:
         begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         n = np.diff(np.append(begin, len(token)))
         df = np.repeat(n, n)
-        # The leader of a short list is its first node, so that lists of the same nodes agree; of a long one any node,
-        # another for each list.
-        draw = np.where(df > NEAR_LIST, mix(node ^ mix(token)), np.uint64(0))
-        at = np.lexsort((node, draw, token))[np.repeat(begin, n)]
         keep = (df > 1) | (table.column("spread")[0].as_py() > 0)
-        lead, small, large = node[at], np.minimum(size, size[at]).astype(np.int64), np.maximum(size, size[at]).astype(np.int64)
-        fits = (lead != node) & (100 * small >= PERCENT * large)
-        lead = pa.array(lead[keep].view(np.int64), mask=~fits[keep])
-        return pa.table({"node": pa.array(node[keep].view(np.int64)), "size": pa.array(size[keep]), "token": pa.array(token[keep].view(np.int64)), "df": pa.array(df[keep], pa.int64()), "leader": lead})
+        columns = [pa.array(node[keep].view(np.int64)), pa.array(size[keep]), pa.array(token[keep].view(np.int64)), pa.array(df[keep], pa.int64())]
+        for k in range(LEADERS):
+            drawn = mix(node ^ np.uint64(k + 1))
+            first = np.flatnonzero(drawn == np.repeat(np.minimum.reduceat(drawn, begin), n)) if len(token) else begin
+            at = np.repeat(first, n)  # mix is one to one, so a list has one least node
+            lead, small, large = node[at], np.minimum(size, size[at]).astype(np.int64), np.maximum(size, size[at]).astype(np.int64)
+            fits = (lead != node) & (100 * small >= PERCENT * large)
+            columns.append(pa.array(lead[keep].view(np.int64), mask=~fits[keep]))
+        return pa.table(columns, names=["node", "size", "token", "df", *(f"leader_{k}" for k in range(LEADERS))])
 
     index = table.select("node", "n", "prefix", "freq").mapInArrow(split, "part long, spread long, tokens binary, nodes binary, sizes binary")
-    return index.groupBy("part", "spread").applyInArrow(lists, "node long, size int, token long, df long, leader long")
+    ddl = "node long, size int, token long, df long" + "".join(f", leader_{k} long" for k in range(LEADERS))
+    made = index.groupBy("part", "spread").applyInArrow(lists, ddl)
+    leaders = [F.col(f"leader_{k}") for k in range(LEADERS)]
+    return made.select("node", "size", "token", "df", F.array_distinct(F.array(*leaders)).alias("leaders"))
 
 
 # -- 4. light and heavy -----------------------------------------------------------------------------------------
@@ -299,7 +310,16 @@ def meetings(reduced: DataFrame, limit: int) -> DataFrame:
 
 
 # -- 3. and 5. links ---------------------------------------------------------------------------------------------------
-def sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+def rekeyed(rows: DataFrame, clashes: DataFrame | None) -> DataFrame:
+    """rows (node, check, ...) with another node for the sets whose first digest is that of a different set; clashes: (node, check)
+    of the sets that keep it."""
+    if clashes is None:
+        return rows
+    rows = rows.join(clashes.select(F.col("node").alias("c_node"), F.col("check").alias("c_check")), F.col("node") == F.col("c_node"), "left")
+    return rows.withColumn("node", F.when(F.col("check") != F.col("c_check"), F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("c_node", "c_check")
+
+
+def sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, clashes: DataFrame | None) -> DataFrame:
     """(node, shingles) of the wanted (node, doc_id). Up to IDS_BOUND ids are sent to every task; more are joined."""
     spark = docs.sparkSession
     ids = wanted.select("doc_id").distinct()
@@ -320,9 +340,10 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> D
                 batch = batch.filter(pa.array(hit | ids.is_null().to_numpy(zero_copy_only=False)))
             for part in slices(batch.column(1)):
                 sets = shingle_sets(part, WORDS)
-                yield pa.record_batch([pa.array([set_keys(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+                keys = [set_keys(s) for s in sets]
+                yield pa.record_batch([pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)] + [pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "check", "shingles"])
 
-    made = texts.mapInArrow(run, "node long, shingles binary").join(wanted.select("node").distinct(), "node", "left_semi")
+    made = rekeyed(texts.mapInArrow(run, "node long, `check` long, shingles binary"), clashes).join(wanted.select("node").distinct(), "node", "left_semi")
     return made.groupBy("node").agg(F.any_value("shingles").alias("shingles"))
 
 
@@ -342,9 +363,20 @@ def verify_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").where(test).select("a", "b")
 
 
+def thinned(links: DataFrame) -> DataFrame:
+    """Links (a, b) of leaders and nodes with the same components: each node's link to its least leader, and links from
+    each of its leaders to the next, which nodes of the same leaders have in common. A node has no more leaders than
+    elements in front."""
+    leaders = F.array_sort(F.collect_set("a"))
+    each = links.groupBy("b").agg(leaders.alias("l"))
+    own = each.select(F.col("l")[0].alias("a"), "b")
+    chain = each.where(F.size("l") > 1).select(F.explode(F.arrays_zip(F.slice("l", F.lit(1), F.size("l") - 1).alias("a"), F.slice("l", F.lit(2), F.size("l") - 1).alias("b"))).alias("c"))
+    return own.union(chain.select("c.a", "c.b")).distinct()
+
+
 def verify_blocks(visits: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
-    """visits: (node, target), a node and a component; members: (node, root). One link (a, b) of each node with each
-    block of the component's members, if there is one. A task holds at most about 2 * BLOCK sets at once."""
+    """visits: (node, target), a node and a component; members: (node, root). (node, target): the visits that find a link,
+    once for each block of the component's members that has one. A task holds at most about 2 * BLOCK sets at once."""
     sizes = visits.groupBy("target").agg(F.count("*").alias("n_visits"))
     hosts = members.join(sizes, F.col("root") == F.col("target"))
     blocks = hosts.groupBy("target").agg(F.count("*").alias("n_members"), F.first("n_visits").alias("n_visits"))
@@ -357,7 +389,7 @@ def verify_blocks(visits: DataFrame, members: DataFrame, sets: DataFrame) -> Dat
         host = np.asarray(table.column("host"))
         node = table.column("node").to_numpy()
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
-        hosts, a, b = np.flatnonzero(host), [], []
+        hosts, found = np.flatnonzero(host), []
         if len(hosts):
             n = np.array([len(sets[i]) for i in hosts])
             token, owner = np.concatenate([sets[i] for i in hosts]), np.repeat(np.arange(len(hosts)), n)
@@ -367,14 +399,12 @@ def verify_blocks(visits: DataFrame, members: DataFrame, sets: DataFrame) -> Dat
                 left, right = np.searchsorted(token, sets[i]), np.searchsorted(token, sets[i], side="right")
                 width = right - left
                 at = np.repeat(left - (np.cumsum(width) - width), width) + np.arange(width.sum())
-                hit = linked(np.bincount(owner[at], minlength=len(hosts)), n, np.int64(len(sets[i])))
-                if hit.any():
-                    a.append(int(node[i]))
-                    b.append(int(node[hosts[hit.argmax()]]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                if linked(np.bincount(owner[at], minlength=len(hosts)), n, np.int64(len(sets[i]))).any():
+                    found.append(int(node[i]))
+        return pa.table({"node": pa.array(found, pa.int64()), "target": pa.array([table.column("target")[0].as_py()] * len(found), pa.int64())})
 
     rows = host.unionByName(guest).join(sets, "node")
-    return rows.groupBy("target", "block", "chunk").applyInArrow(run, "a long, b long")
+    return rows.groupBy("target", "block", "chunk").applyInArrow(run, "node long, target long")
 
 
 def dense_meetings(rows: DataFrame, reduced: DataFrame) -> DataFrame:
@@ -423,22 +453,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = min(_parts(shingles, COUNT_PART, least), 24)
     heavy = heavy_shingles(docs, text_col, bits)
     table = save(prefixes(docs, id_col, text_col, heavy, bits), "prefixes")
+    clashes = None
+    if table.groupBy("node").agg((F.min("check") != F.max("check")).alias("two")).where("two").limit(1).count():
+        clashes = save(table.groupBy("node").agg(F.min("check").alias("check"), F.max("check").alias("other")).where("check != other").drop("other"), "clashes")
+        table = save(rekeyed(table, clashes), "prefixes")
     shared = save(shared_elements(table, min(_parts(shingles / 4, INDEX_PART, least), 24)), "shared")
     nodes = table.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     nodes = save(nodes, "nodes")
 
     def known(rows: DataFrame) -> DataFrame:
-        return sets_of(docs, id_col, text_col, nodes.join(rows.distinct(), "node", "left_semi"))
+        return sets_of(docs, id_col, text_col, nodes.join(rows.distinct(), "node", "left_semi"), clashes)
 
-    enough = F.sum(F.when(F.col("df") > NEAR_LIST, SUBSET).otherwise(1)).alias("met")
-    pairs = save(shared.where("leader is not null").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(enough).where(f"met >= {SUBSET}").select("a", "b"), "pairs")
+    led = shared.select("node", F.explode("leaders").alias("leader")).where("leader is not null")
+    pairs = led.groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("met"))
+    pairs = save(pairs.where(f"met >= {SUBSET}").select("a", "b"), "pairs")
     sets = save(known(pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), "sets")
-    links = save(verify_pairs(pairs, sets), "links")
+    links = save(thinned(verify_pairs(pairs, sets)), "links")
     drop(sets)
     drop(pairs)
     roots = components(links)
+    drop(links)
 
-    named = save(shared.drop("leader").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    named = save(shared.drop("leaders").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
     drop(shared)
     mixed = named.groupBy("token").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("token")
     open_ = named.join(mixed, "token", "left_semi").groupBy("node", "root", "size").agg(F.collect_list("token").alias("tokens"), F.sum("df").alias("scan"), F.count("*").alias("pi"))
@@ -457,11 +493,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # With the largest component of its list each node meets once; the other components meet each other, pair by pair
     # where they are few, in blocks where they are many.
     major = ranked.select("node", F.col("major.root").alias("target"), "weight")
-    few = ranked.where(f"others between 2 and {NEAR_LIST}")
+    few = ranked.where(f"others between 2 and {APART}")
     there = few.groupBy(F.col("key").alias("t_key"), F.col("rank").alias("t_rank")).agg(F.max("heavy").alias("t_heavy"))
     apart = few.join(there, (F.col("key") == F.col("t_key")) & (F.col("t_rank") > F.col("rank")) & ((F.col("weight") == SUBSET) | F.col("heavy") | F.col("t_heavy")))
     seen = major.union(apart.select("node", F.col("t_rank.root").alias("target"), "weight"))
-    dense = dense_meetings(ranked.where(f"others > {NEAR_LIST}").select("key", "node", F.col("rank.members").alias("members")), reduced)
+    dense = dense_meetings(ranked.where(f"others > {APART}").select("key", "node", F.col("rank.members").alias("members")), reduced)
     # Elements that a node has in common with any one of a component are no more than it meets the component at; of
     # two light sets the subsets tell how many.
     visits = seen.groupBy("node", "target").agg(F.count_if(F.col("weight") == SUBSET).alias("subsets"), F.count_if(F.col("weight") != SUBSET).alias("elements"))
@@ -475,10 +511,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop(ranked)
     members = save(reduced.select("node", "root").join(visits.select(F.col("target").alias("root")).distinct(), "root", "left_semi"), "members")
     sets = save(known(visits.select("node").union(members.select("node"))), "sets")
-    more = save(verify_blocks(visits, members, sets), "links")
+    found = verify_blocks(visits, members, sets).distinct().join(reduced.select("node", "root"), "node")
+    more = save(found.select(F.col("root").alias("a"), F.col("target").alias("b")).distinct(), "links")
     for t in (sets, visits, members, reduced):
         drop(t)
-    roots = components(links.unionByName(more)) if more.limit(1).count() else roots
+    # Components whose nodes link become one; a root that no leader had linked is a component of itself.
+    over = components(more).select(F.col("node").alias("below"), F.col("root").alias("over"))
+    alone = over.join(roots, F.col("below") == F.col("node"), "left_anti").select(F.col("below").alias("node"), F.col("below").alias("root"))
+    roots = roots.union(alone).join(over, F.col("root") == F.col("below"), "left").select("node", F.coalesce("over", "root").alias("root"))
     best = roots.join(nodes, "node").groupBy("root").agg(F.min("doc_id").alias("component"))
     label = roots.join(best, "root").select("node", "component")
     copies = nodes.where("copies > 1").select("node", F.col("doc_id").alias("own"))
@@ -488,10 +528,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component, the one whose id names it (of rows that repeat that id, each)."""
-    found = near_duplicates(docs, id_col, text_col).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    kept = found.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """docs with one row of each component, one with the smallest id. Rows without words are components of their own. Where
+    ids are null or repeated they do not tell rows apart, so the rows are numbered in a written copy first."""
+    if not docs.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).limit(1).count():
+        found = near_duplicates(docs, id_col, text_col).where("doc_id = component_id")
+        return docs.join(found.select(F.col("doc_id").alias(_own_name(docs))), F.col(id_col) == F.col(_own_name(docs)), "left_semi")
+    own = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("own_row")
+    rows = docs.select(F.monotonically_increasing_id().alias("row_number"), F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), own)
+    rows = save(rows, "numbered")
+    found = near_duplicates(rows, "row_number", "text").select(F.col("doc_id").alias("row_number"), "component_id")
+    order = F.struct(F.col("own_id").isNull(), F.col("own_id"), F.col("row_number"))
+    first = found.join(rows.select("row_number", "own_id"), "row_number").groupBy("component_id").agg(F.min_by("row_number", order).alias("row_number"))
+    return rows.join(first, "row_number", "left_semi").select("own_row.*")
+
+
+def _own_name(docs: DataFrame) -> str:
+    """A name that no column of docs has."""
+    return "_".join(["kept", *docs.columns])
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

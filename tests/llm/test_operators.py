@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.llm import fertility, jaccard, jpeg, language, mixing, pieces, pii, resampling, token_counts, warc
-from larkspur.llm._text import shingle_sets, slices, word_hashes, raw_bytes
+from larkspur.llm._text import mix, raw_bytes, shingle_sets, slices, word_hashes
 
 SEP = r"[^\x20\x09-\x0D]+"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -89,7 +89,7 @@ def test_jaccard_against_brute_force(spark, docs):
 
 
 def test_jaccard_on_chains_and_groups(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "NEAR_LIST", 4)
+    monkeypatch.setattr(jaccard, "APART", 4)
     r, rows = random.Random(5), []
     for g in range(6):
         base = words(40 + 30 * g, g, 5000).split()
@@ -113,12 +113,12 @@ def test_jaccard_of_an_inner_size(spark):
         a, b = [*t, *(f"a{i}" for i in range(5))], [*x, *t]
         return [" ".join(w) for w in (a, b, ["c", *b], [*x[4:], *t[:42], "d0", "d1"])], " ".join(t[5:])
 
-    def leader(four):
-        nodes = [jaccard.set_keys(s)[0] % 2**64 for s in shingle_sets(pa.array(four), jaccard.WORDS)]
-        return nodes.index(min(nodes))
+    def leaders(four):
+        nodes = np.array([jaccard.set_keys(s)[0] for s in shingle_sets(pa.array(four), jaccard.WORDS)]).view(np.uint64)
+        return [int(mix(nodes ^ np.uint64(k + 1)).argmin()) for k in range(jaccard.LEADERS)]
 
-    # c or d leads the lists that a and b are in, so the first step does not compare a with b.
-    four, common = next(x for x in map(texts, range(100)) if leader(x[0]) > 1)
+    # c or d lead the lists that a and b are in, so the first step does not compare a with b.
+    four, common = next(x for x in map(texts, range(1000)) if min(leaders(x[0])) > 1)
     rows = list(enumerate([*four, *(f"{words(200, k, 10**9)} {common}" for k in range(jaccard.LIGHT + 2))]))
     want = brute_components(rows)
     assert [(n, c) for _, n, c in sorted(want)[:4]] == [(50, 0), (55, 0), (56, 0), (46, 0)]
@@ -140,7 +140,34 @@ def test_least_in_range_is_the_least(spark):
 def test_jaccard_of_nothing(spark, docs):
     assert found_components(docs.where("false")) == []
     assert jaccard.keep_one(docs).columns == docs.columns
-    assert sorted((r.doc_id for r in jaccard.keep_one(docs).collect()), key=repr) == [0, 10, 10, 11, 12, 3, 4, 5, 6, 7, 9, None]
+    assert sorted((r.doc_id for r in jaccard.keep_one(docs).collect()), key=repr) == [0, 10, 11, 12, 3, 4, 5, 6, 7, 9, None]
+
+
+def test_jaccard_of_clashing_digests(spark, docs, monkeypatch):
+    whole = jaccard.set_keys
+    monkeypatch.setattr(jaccard, "set_keys", lambda s: (whole(s)[0] % 5, whole(s)[1]))
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    assert found_components(docs) == brute_components(rows)
+
+
+def test_links_grow_with_the_nodes(spark, monkeypatch):
+    # A group of near copies of each size leaves little more than a link for each of its nodes.
+    r, base, seen = random.Random(8), words(150, 8, 10**6).split(), []
+    thinned = jaccard.thinned
+    monkeypatch.setattr(jaccard, "thinned", lambda links: seen.append(thinned(links)) or seen[-1])
+    monkeypatch.setattr(jaccard, "drop", lambda df: None)
+    for n in (40, 300):
+        rows = [(i, " ".join(f"m{r.random()}" if k in cut else w for k, w in enumerate(base))) for i in range(n) for cut in [set(r.sample(range(150), r.randint(1, 3)))]]
+        assert found_components(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows)
+        assert seen[-1].count() <= 1.5 * n
+
+
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    a, b = words(70, 1), words(70, 2)
+    rows = [(1, a, "x"), (1, a, "x"), (None, a, "y"), (1, b, "z"), (2, b, "w"), (None, None, "n"), (None, None, "n"), (3, "", "e"), (3, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    got = sorted((tuple(x) for x in jaccard.keep_one(df).collect()), key=repr)
+    assert got == sorted([(1, a, "x"), (1, b, "z"), (None, None, "n"), (None, None, "n"), (3, "", "e"), (3, "", "e")], key=repr)
 
 
 def test_boundary_is_the_cheapest(spark):
