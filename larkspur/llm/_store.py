@@ -24,7 +24,8 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder under ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """This application's folder under ``spark.checkpoint.dir``. A temporary one where that is unset and the master is local,
+    as in tests; on a cluster, where executors would not see it, an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         with contextlib.suppress(Exception):
@@ -32,8 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = getattr(spark.sparkContext, "_larkspur_dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = spark.sparkContext._larkspur_dir = tempfile.mkdtemp(prefix="larkspur-shared-")
-    return f"{base.rstrip('/')}/larkspur"
+    return f"{base.rstrip('/')}/larkspur/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables and archives that this application has put into the shared folder, those of attempts that failed
+    included. Results that still read them must be written elsewhere first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

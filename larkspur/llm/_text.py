@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: The bytes that separate words: space and \x09 to \x0D.
 SEPARATORS = b" \t\n\r\x0b\x0c"
@@ -34,6 +36,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def uniform(key: Column, seed: str) -> Column:
+    """In (0, 1), from the first 48 bits of a digest of a string column."""
+    bits = F.conv(F.substring(F.md5(F.concat(key, F.lit(":" + seed))), 1, 12), 16, 10)
+    return (bits.cast("double") + F.lit(0.5)) / F.lit(float(2**48))
+
+
 def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
     """Consecutive parts of at most ``most`` bytes, or of one text that is longer."""
     if len(texts) == 0:

@@ -9,7 +9,8 @@ its band, by the root of LEAST / n, so nothing jumps at LEAST. The quartiles of
 them all; such a group's documents are judged by the band of their script, as much wider. Other scripts never judge.
 
 A null text has no words and fails the base rules; so does an empty one. Nothing is dropped: every row of the input
-has one of the output, repeated rows included, and extra columns stay as they are.
+has one of the output, repeated rows included, and extra columns stay as they are; only one that is called like the
+result is replaced. Long texts are encoded in parts whose tokens are those of the whole. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.llm._store import read_table, save, ship
 from larkspur.llm._text import SEPARATORS, raw_bytes, slices, window_hashes, word_hashes
-from larkspur.llm.token_counts import safe_pieces, vocabulary_path
+from larkspur.llm.token_counts import marks_begin_pieces, safe_pieces, vocabulary_path
 
 VOCABULARY = "piece_bpe_32k.model"
 MIN_WORDS = 50
@@ -37,6 +39,7 @@ FLOOR = {"chars_per_token": 0.12, "fallback_share": 0.05, "token_entropy": 0.1}
 NOISE = {"chars_per_token": 1.0, "fallback_share": 0.5, "token_entropy": 0.5}
 LEAST = 50
 JUDGES = 4
+DIGITS = 3
 _FIELDS = [
     ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()),
     ("n_repeat_words", pa.int64()), ("n_tokens", pa.int64()), ("chars_per_token", pa.float64()),
@@ -61,7 +64,7 @@ def _vocabulary(name: str):
 
     sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(name))
     fallback = np.array([sp.is_byte(i) or sp.is_unknown(i) for i in range(sp.get_piece_size())])
-    return sp, fallback
+    return sp, fallback, marks_begin_pieces(sp)
 
 
 def script_of(text: str) -> str:
@@ -102,7 +105,7 @@ def duplicate_lines(text: bytes) -> int:
 
 
 def measure(texts: pa.Array, vocabulary: str = VOCABULARY) -> list[dict]:
-    sp, fallback = _vocabulary(vocabulary)
+    sp, fallback, cuts = _vocabulary(vocabulary)
     data, offsets = raw_bytes(texts)
     words, first = word_hashes(data, offsets, fold=False)
     windows, whole = window_hashes(words, 3), data.tobytes()
@@ -111,7 +114,7 @@ def measure(texts: pa.Array, vocabulary: str = VOCABULARY) -> list[dict]:
         a, b = int(first[i]), int(first[i + 1])
         raw = whole[offsets[i] : offsets[i + 1]]
         text = raw.decode("utf-8", "replace")
-        ids = np.fromiter((t for piece in safe_pieces(text) for t in sp.encode(piece)), np.int64) if text else np.zeros(0, np.int64)
+        ids = np.concatenate([np.array(sp.encode(piece), np.int64) for piece in (safe_pieces(text, space="drop") if cuts else (text,))])
         n, entropy = len(ids), 1.0
         if n > 1:
             c = np.bincount(ids)
@@ -144,15 +147,22 @@ def fertility(text: Column, vocabulary: str = VOCABULARY) -> Column:
 
 
 def bands(good: DataFrame, by: str) -> DataFrame:
-    """(key, n, wider, and mid and half of each metric): a row for each value of ``by``, from partial sketches; the deviation
-    is taken from quartiles, so one pass is enough. A group of n documents is to have its halves ``wider`` times."""
-    quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10000).alias(m) for m in METRICS]
+    """(key, n, wider, and mid and half of each metric): a row for each value of ``by``. The quartiles are exact ones of the
+    metrics rounded to ``DIGITS``, from counts of each value, so they do not depend on how rows are dealt out. A group of n
+    documents is to have its halves ``wider`` times."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.round(m, DIGITS).alias("value")) for m in METRICS]))
+    values = good.select(F.col(by).alias("key"), each.alias("e")).groupBy("key", "e.metric", "e.value").agg(F.count("*").alias("many"))
+    # Rounded metrics have some ten thousand values at most in a group, however many documents it has.
+    upto = F.sum("many").over(W.partitionBy("key", "metric").orderBy("value"))
+    values = values.withColumn("upto", upto).withColumn("n", F.sum("many").over(W.partitionBy("key", "metric")))
+    low, mid, high = (F.min(F.when(F.col("upto") >= F.lit(q) * F.col("n"), F.col("value"))) for q in (0.25, 0.5, 0.75))
+    rows = values.groupBy("key", "metric").agg(low.alias("low"), mid.alias("mid"), high.alias("high"), F.first("n").alias("n"))
     limits = []
     for m in METRICS:
-        half = F.greatest(F.lit(FLOOR[m]), F.lit(WIDTH[m]) * (F.col(m)[2] - F.col(m)[0]) / F.lit(1.349))
-        limits.append(F.struct(F.col(m)[1].alias("mid"), half.alias("half")).alias(m))
+        half = F.greatest(F.lit(FLOOR[m]), F.lit(WIDTH[m]) * (F.col("high") - F.col("low")) / F.lit(1.349))
+        limits.append(F.max(F.when(F.col("metric") == m, F.struct(F.col("mid"), half.alias("half")))).alias(m))
     wider = F.sqrt(F.greatest(F.lit(LEAST) / F.col("n"), F.lit(1.0))).alias("wider")
-    return good.groupBy(F.col(by).alias("key")).agg(*quartiles, F.count("*").alias("n")).select("key", "n", wider, *limits)
+    return rows.groupBy("key", "n").agg(*limits).select("key", "n", wider, *METRICS)
 
 
 def with_verdict(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", vocabulary: str = VOCABULARY, columns: list[str] | None = None) -> DataFrame:
@@ -167,7 +177,7 @@ def with_verdict(docs: DataFrame, text_col: str = "text", lang_col: str | None =
     measured = docs.withColumn("fertility", fertility(F.col(text_col), vocabulary))
     failed = (F.col("fertility.n_words") < MIN_WORDS) | (100 * F.col("fertility.n_repeat_words") > 50 * F.col("fertility.n_words"))
     measured = measured.withColumn("fertility", F.struct("fertility.*", failed.alias("base_failed"), group.alias("band_of")))
-    measured = save(measured.select(*(docs.columns if columns is None else columns), "fertility"), "fertility")
+    measured = save(measured.select(*([f"`{c}`" for c in docs.columns if c.lower() != "fertility"] if columns is None else columns), "fertility"), "fertility")
     good = measured.where(~F.col("fertility.base_failed")).select("fertility.*")
     own = save(bands(good, "band_of"), "bands")
     scripts = save(bands(good, "script").drop("wider"), "bands")

@@ -530,7 +530,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component, one with the smallest id. Rows without words are components of their own. Where
     ids are null or repeated they do not tell rows apart, so the rows are numbered in a written copy first."""
-    if not docs.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).limit(1).count():
+    if not docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).where("n > 1 or id is null").limit(1).count():
         found = near_duplicates(docs, id_col, text_col).where("doc_id = component_id")
         return docs.join(found.select(F.col("doc_id").alias(_own_name(docs))), F.col(id_col) == F.col(_own_name(docs)), "left_semi")
     own = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("own_row")

@@ -1,14 +1,15 @@
 """Media columns: a baseline JPEG codec in numpy, with DC-only luminance thumbnails.
 
-``decode`` parses the markers of a baseline (SOF0) file, Huffman-decodes its scan and returns the quantised
-coefficients of every block; ``thumbnail`` turns the luminance DC terms into one pixel a block. Scans with many
+``decode`` parses the markers of a baseline (SOF0) file, Huffman-decodes its scans, whether they hold all components or
+some, and returns the quantised coefficients of every block; ``thumbnail`` turns the luminance DC terms into one pixel a block. Scans with many
 restart intervals are decoded a symbol at a time over all intervals at once; others bit by bit.
 
 ``pack`` stores any bytes losslessly in this format's own unit: 64 bytes are the 64 quantised coefficients (signed,
 in zigzag order) of one 8x8 block of a grey image, with a restart interval of one block. Blocks that fill up the
 last row are zero; an APP4 segment holds the number of bytes stored.
 
-A null or malformed file decodes to null; equal files give equal values. In ``op10`` a null text counts as empty.
+A null or malformed file decodes to null; equal files give equal values, repeated rows stay, and an empty table gives
+an empty one. Columns that have the name of one that is made are replaced. In ``op10`` a null text counts as empty.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import math
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import numpy as np
@@ -215,6 +216,9 @@ class Jpeg:
     restart: int = 0
     stored: int | None = None
     scan: bytes = b""
+    #: The largest sampling factors of the frame, and each scan as an image of its own where there are several.
+    most: tuple[int, int] = (1, 1)
+    scans: list[Jpeg] = field(default_factory=list)
 
     def shape(self) -> tuple:
         """Files of one shape can be decoded side by side."""
@@ -224,13 +228,17 @@ class Jpeg:
 
 
 def parse(data: bytes) -> Jpeg:
-    """The segments up to and with the first scan."""
+    """The segments up to and with the scan of all components, or all scans of some of them."""
     out, at = Jpeg(), 2
     if data[:2] != b"\xff\xd8":
         raise ValueError("no start of image")
     while True:
         while data[at : at + 2] == b"\xff\xff":
             at += 1
+        if out.scans and data[at : at + 2] == b"\xff\xd9":
+            if {c.ident for s in out.scans for c in s.components} != {c.ident for c in out.components}:
+                raise ValueError("a component is missing")
+            return out
         if at + 4 > len(data) or data[at] != 0xFF:
             raise ValueError("no marker where one must be")
         kind, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
@@ -252,6 +260,9 @@ def parse(data: bytes) -> Jpeg:
             if bits != 8 or not out.width or not out.height:
                 raise ValueError("not an 8-bit image of known size")
             out.components = [Component(i, hv >> 4, hv & 15, q) for i, hv, q in struct.iter_unpack("BBB", body[6 : 6 + 3 * n])]
+            if not out.components or any(not c.h or not c.v for c in out.components):
+                raise ValueError("a component without size")
+            out.most = max(c.h for c in out.components), max(c.v for c in out.components)
         elif 0xC1 <= kind <= 0xCF and kind != 0xC8 and kind != 0xCC:
             raise ValueError("not a baseline file")
         elif kind == 0xDD:
@@ -265,10 +276,24 @@ def parse(data: bytes) -> Jpeg:
                 c = named[body[1 + 2 * i]]
                 c.dc, c.ac = body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15
                 order.append(c)
-            if len(order) != len(out.components):
-                raise ValueError("components in scans of their own")
-            out.scan = data[at:]
-            return out
+            if len(order) == len(out.components):
+                out.scan = data[at:]
+                return out
+            end = at
+            while (end := data.find(b"\xff", end)) >= 0 and data[end + 1 : end + 2] and (data[end + 1] == 0 or 0xD0 <= data[end + 1] <= 0xD7):
+                end += 2
+            if end < 0:
+                raise ValueError("a scan without an end")
+            out.scans.append(_part(out, order, data[at:end] + b"\xff\xd9"))
+            at = end
+
+
+def _part(whole: Jpeg, order: list[Component], scan: bytes) -> Jpeg:
+    """One scan as an image: a single component's blocks are those that it has pixels for, without padding."""
+    width, height = whole.width, whole.height
+    if len(order) == 1:
+        width, height = -(-width * order[0].h // whole.most[0]), -(-height * order[0].v // whole.most[1])
+    return Jpeg(width, height, [replace(c) for c in order], whole.quant, dict(whole.tables), whole.restart, scan=scan, most=whole.most)
 
 
 def _intervals(scan: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -358,7 +383,7 @@ def _decode_one(windows: np.ndarray, pos: int, block: np.ndarray, dc: np.ndarray
 
 def _lay_out(images: list[Jpeg]) -> None:
     for j in images:
-        hmax, vmax = max(c.h for c in j.components), max(c.v for c in j.components)
+        hmax, vmax = j.most
         single = len(j.components) == 1
         for c in j.components:
             if single:
@@ -374,7 +399,10 @@ def decode(files: list[bytes | None]) -> list[Jpeg | None]:
     for i, data in enumerate(files):
         try:
             j = parse(data) if data else None
-            if j:
+            if j and j.scans:
+                _decode_scans(j)
+                out[i] = j
+            elif j:
                 _lay_out([j])
                 shapes.setdefault(j.shape(), []).append(i)
                 out[i] = j
@@ -392,6 +420,16 @@ def decode(files: list[bytes | None]) -> list[Jpeg | None]:
     return out
 
 
+def _decode_scans(j: Jpeg) -> None:
+    own = {c.ident: c for c in j.components}
+    for part in j.scans:
+        _lay_out([part])
+        restart, shape = part.shape()
+        _decode_group([part], restart, shape)
+        for c in part.components:
+            own[c.ident].blocks, own[c.ident].rows, own[c.ident].columns = c.blocks, c.rows, c.columns
+
+
 def _decode_group(images: list[Jpeg], restart: int, parts: tuple) -> None:
     scan = np.frombuffer(b"".join(j.scan for j in images), np.uint8)
     data, first, marks = _intervals(scan)
@@ -444,10 +482,17 @@ def _decode_group(images: list[Jpeg], restart: int, parts: tuple) -> None:
             b += c.h * c.v
 
 
+def _blocks(pixels: int, factor: int, most: int) -> int:
+    """Blocks in a row or column of a component."""
+    return math.ceil(math.ceil(pixels * factor / most) / 8)
+
+
 def thumbnail(j: Jpeg) -> np.ndarray:
-    """One luminance pixel for each 8x8 block, from the DC terms only."""
+    """One luminance pixel for each 8x8 block that the image has pixels in, from the DC terms only."""
     c = j.components[0]
-    dc = c.blocks[:, :, 0].astype(np.int64) * j.quant[c.quant][0]
+    hmax, vmax = j.most if len(j.components) > 1 else (c.h, c.v)
+    down, across = _blocks(j.height, c.v, vmax), _blocks(j.width, c.h, hmax)
+    dc = c.blocks[:down, :across, 0].astype(np.int64) * j.quant[c.quant][0]
     return np.clip((dc + 4) // 8 + 128, 0, 255).astype(np.uint8)
 
 
@@ -493,8 +538,8 @@ def read_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
     """Dimensions, thumbnail hashes and, of files that ``pack`` made, digests of the payload read back; all null
     where the file is null or malformed. Other columns stay."""
     ship(media.sparkSession)
-    others = [c for c in media.columns if c != media_col]
     kinds = [("width", "int"), ("height", "int"), ("components", "int"), ("thumb_hash", "string"), ("thumb_sha256", "string"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string")]
+    others = [c for c in media.columns if c != media_col and c not in dict(kinds)]
     arrow = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,14 +8,15 @@ average, at most ``MOST``, with the k at which the expected words are the target
 somewhat less often. The whole part of that number is allocated for certain. The fractional part p is the
 inclusion probability of one more copy: documents are ranked by random odds over inclusion odds,
 (u / (1 - u)) / (p / (1 - p)), and the first of them are taken up to the words that the source still lacks, to the
-nearest document. u is a digest of the doc_id, so reruns agree.
+nearest document. u is a digest of doc_id and text, so reruns agree, and null or repeated ids draw for themselves.
 
 Where the ranking is cut is found from partial sums over ``BINS`` equal parts of the rank's range; only the one part
 of each source in which the cut falls is sorted. What is joined to the documents has a row for each source and bit
 length.
 
 A null text has no words; such documents and empty ones are taken with whole copies only, which add nothing.
-Rows that agree in doc_id, source and word count share one fate. An empty table gives an empty mix.
+Rows that agree in doc_id, source and text share one fate, and are counted, not sorted, at the cut. An empty table
+gives an empty mix. Extra columns stay in the mix, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.llm._store import read_table, save
+from larkspur.llm._text import uniform
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-BINS = 4096
+BINS = 1 << 16
 SEED = "mix"
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,10 +39,8 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(_WORD)).cast("long")
 
 
-def uniform(key: Column, seed: str = SEED) -> Column:
-    """In (0, 1), from the first 48 bits of a digest."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(":" + seed))), 1, 12), 16, 10)
-    return (bits.cast("double") + F.lit(0.5)) / F.lit(float(2**48))
+def draw(ident: Column, text: Column, seed: str = SEED) -> Column:
+    return uniform(F.concat_ws(":", F.coalesce(ident.cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit("")))), seed)
 
 
 def bit_length(size: Column) -> Column:
@@ -75,7 +75,7 @@ def source_targets(sized: DataFrame) -> DataFrame:
 
 
 def plan(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """sized: (doc_id, source, size). Returns a table by (source, bits) with certain copies and inclusion
+    """sized: (doc_id, source, size, draw). Returns a table by (source, bits) with certain copies and inclusion
     probability, and one by source with the cut in the ranking."""
     bits = bit_length(F.col("size"))
     by_bits = sized.groupBy("source", bits.alias("bits")).agg(F.sum("size").cast("double").alias("words"))
@@ -95,9 +95,10 @@ def plan(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
     per_bin = per_bin.withColumn("upto", upto).where("upto > lacks")
     cut = per_bin.groupBy(F.col("source").alias("c_source")).agg(F.min("bin").alias("cut_bin"), F.min_by(F.col("upto") - F.col("words"), "bin").alias("before"))
     inside = ranked.join(cut, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("bin") == F.col("cut_bin")))
+    inside = inside.groupBy("source", "place", "doc_id", "size", "before", "lacks", "cut_bin").agg(F.sum("size").alias("words"))
     order = W.partitionBy("source").orderBy("place", "doc_id", "size")
-    earlier = F.col("before") + F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    inside = inside.withColumn("fits", earlier + F.col("size") / 2 <= F.col("lacks"))
+    earlier = F.col("before") + F.coalesce(F.sum("words").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = inside.withColumn("fits", earlier + F.col("words") / 2 <= F.col("lacks"))
     last = F.max(F.when(F.col("fits"), _key())).alias("last")
     ends = inside.groupBy(F.col("source").alias("e_source")).agg(F.first("cut_bin").alias("cut_bin"), last)
     return by_bits, save(ends, "mix-cut")
@@ -111,7 +112,7 @@ def rank(sized: DataFrame, by_bits: DataFrame) -> DataFrame:
     """sized with what by_bits has and each row's place in the ranking, as odds over one plus odds."""
     b = by_bits.withColumnRenamed("source", "b_source").withColumnRenamed("bits", "b_bits")
     rows = sized.join(b, F.col("source").eqNullSafe(F.col("b_source")) & (bit_length(F.col("size")) == F.col("b_bits"))).drop("b_source", "b_bits")
-    u, p = uniform(F.col("doc_id")), F.col("chance")
+    u, p = F.col("draw"), F.col("chance")
     odds = F.try_divide(u / (1 - u), p / (1 - p))
     place = F.when(p > 0, odds / (1 + odds))
     return rows.withColumn("place", place).withColumn("bin", F.floor(F.col("place") * BINS).cast("int"))
@@ -128,7 +129,7 @@ def _with_copies(rows: DataFrame, by_bits: DataFrame, ends: DataFrame) -> DataFr
 
 def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, source_size, target, copies), a row for each row of docs."""
-    sized = save(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
+    sized = save(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), draw(F.col(id_col), F.col(text_col)).alias("draw")), "mix-sizes")
     by_bits, ends = plan(sized)
     return _with_copies(sized, by_bits, ends).select("doc_id", "source", "size", "source_size", "target", "copies")
 
@@ -136,8 +137,8 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with its own columns only."""
     own = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("own_row")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), own)
-    by_bits, ends = plan(save(rows.select("doc_id", "source", "size"), "mix-sizes"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), draw(F.col(id_col), F.col(text_col)).alias("draw"), own)
+    by_bits, ends = plan(save(rows.select("doc_id", "source", "size", "draw"), "mix-sizes"))
     taken = _with_copies(rows, by_bits, ends).where("copies > 0")
     return taken.select("own_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("own_row.*")
 

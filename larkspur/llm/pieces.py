@@ -13,14 +13,18 @@ segments with the smallest loss from best to second best can differ from the bes
 come from a backward A* search whose heuristic, the forward Viterbi score, is exact. Their combinations are merged.
 
 A null text gives null (no segmentation); an empty one has one segmentation without pieces. Fewer than N
-segmentations are returned only where no more exist. Among equal scores the order is by position, then by pieces.
+segmentations are returned only where no more exist. Among equal scores the order is that in which the search meets
+them, which depends on the text alone. Memory and time are linear in a segment's length, however long it is. Equal texts
+have equal segmentations, repeated rows stay, an empty table gives an empty one, and other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import math
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,7 +41,8 @@ N_BEST = 4
 BYTE_PENALTY = 2.0
 MARK = 0xFF  # stands for U+2581; not a byte of any UTF-8 text
 LONG = 40
-_CACHE = 200_000
+#: Bytes of segments and of their paths, as estimated, that a task keeps.
+_CACHE = 64 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BREAKS = b"\n\r\t"
 
@@ -57,6 +62,8 @@ class Lattice:
         for i, r in order.items():
             self.score[i] = -math.log(r + 2) - total
         self.byte_score = -math.log(len(order) + 2) - total - BYTE_PENALTY
+        #: The score of each piece on a path; ``score`` is without the byte pieces, which are no words of their own.
+        self.worth = self.score.tolist()
         self.byte_id = np.zeros(256, np.int64)
         self.raw: list[bytes] = [b""] * n
         self.pieces: dict[bytes, int] = {}
@@ -64,6 +71,7 @@ class Lattice:
             if sp.is_byte(i):
                 b = int(sp.id_to_piece(i)[3:5], 16)
                 self.byte_id[b], self.raw[i] = i, bytes([b])
+                self.worth[i] = self.byte_score
             elif i in order:
                 key = sp.id_to_piece(i).encode().replace("▁".encode(), bytes([MARK]))
                 self.pieces[key], self.raw[i] = i, key.replace(bytes([MARK]), b" ")
@@ -87,7 +95,9 @@ class Lattice:
         self.crowded = np.zeros(1 << self.table_bits, bool)
         if over:
             self.crowded[(self.more_keys >> np.uint64(64 - self.table_bits)).astype(np.int64)] = True
+        self.starts = {k[:n] for k in self.pieces for n in range(1, len(k) + 1)}
         self.cache: dict[bytes, list[tuple[float, tuple[int, ...]]]] = {}
+        self.cached = 0
 
     def _hash(self, key: bytes) -> int:
         h = 0
@@ -107,46 +117,74 @@ class Lattice:
         return out
 
     # -- one segment ------------------------------------------------------------------------------------------
-    def edges(self, seg: bytes) -> list[list[tuple[int, float, int]]]:
-        """For each end position the edges (start, score, piece) into it."""
-        into: list[list[tuple[int, float, int]]] = [[] for _ in range(len(seg) + 1)]
+    def edges(self, seg: bytes) -> tuple[np.ndarray, array, array]:
+        """The edges of a segment's lattice by their end: where the edges into each position begin (one more entry at the
+        end), the start of each and its piece."""
+        start, end, piece = array("q"), array("q"), array("q")
         for i in range(len(seg)):
             if 0x80 <= seg[i] < 0xC0:
                 continue
+            w = _char_bytes(seg[i])
+            whole = None
             for j in range(i + 1, min(i + self.longest, len(seg)) + 1):
-                p = self.pieces.get(seg[i:j])
+                key = seg[i:j]
+                if key not in self.starts:
+                    break
+                p = self.pieces.get(key)
                 if p is not None:
-                    into[j].append((i, float(self.score[p]), p))
-            w = _char_bytes(seg[i])
-            if self.pieces.get(seg[i : i + w]) is None:
+                    start.append(i)
+                    end.append(j)
+                    piece.append(p)
+                    if j == i + w:
+                        whole = p
+            if whole is None:
                 for k in range(i, min(i + w, len(seg))):
-                    into[k + 1].append((k, self.byte_score, int(self.byte_id[seg[k]])))
-        return into
+                    start.append(k)
+                    end.append(k + 1)
+                    piece.append(int(self.byte_id[seg[k]]))
+        ends = np.frombuffer(end, np.int64) if len(end) else np.zeros(0, np.int64)
+        order = np.argsort(ends, kind="stable")
+        into = lambda a: array("q", np.frombuffer(a, np.int64)[order].tobytes()) if len(a) else a
+        return np.searchsorted(ends[order], np.arange(len(seg) + 2)), into(start), into(piece)
 
     def search(self, seg: bytes, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best paths of a segment: forward Viterbi, then A* from its end back to its start."""
-        into = self.edges(seg)
-        forward = [0.0] + [-math.inf] * len(seg)
+        """The n best paths of a segment: forward Viterbi, then A* from its end back to its start. The heuristic is exact, so each
+        entry of the heap stands for a whole path of its score, and no more than the n best entries can matter."""
+        first, start, piece = self.edges(seg)
+        first, worth = first.tolist(), self.worth
+        forward = array("d", [0.0]) + array("d", [-math.inf]) * len(seg)
         for j in range(1, len(seg) + 1):
-            forward[j] = max((forward[i] + s for i, s, _ in into[j]), default=-math.inf)
-        found, heap = [], [(-forward[-1], len(seg), (), 0.0)]
+            forward[j] = max((forward[start[e]] + worth[piece[e]] for e in range(first[j], first[j + 1])), default=-math.inf)
+        met, found = itertools.count(), []
+        heap = [(-forward[-1], next(met), len(seg), None, 0.0)]
         while heap and len(found) < n:
-            f, at, path, cost = heapq.heappop(heap)
+            f, _, at, path, cost = heapq.heappop(heap)
             if not at:
-                found.append((-f, path))
+                pieces = []
+                while path:
+                    pieces.append(path[0])
+                    path = path[1]
+                found.append((-f, tuple(pieces)))
                 continue
-            for i, s, p in into[at]:
-                heapq.heappush(heap, (-(forward[i] + s + cost), i, (p, *path), cost + s))
+            for e in range(first[at], first[at + 1]):
+                s = worth[piece[e]]
+                heapq.heappush(heap, (-(forward[start[e]] + s + cost), next(met), start[e], (piece[e], path), cost + s))
+            if len(heap) > 4 * n + 64:
+                heap = heapq.nsmallest(n - len(found), heap)
         return found
 
     def paths(self, seg: bytes, n: int, best: tuple[int, ...]) -> list[tuple[float, tuple[int, ...]]]:
         """(loss, pieces) of the n best paths, the given best one first."""
-        key = seg
-        if key not in self.cache or len(self.cache[key]) < n:
-            if len(self.cache) > _CACHE:
+        found = self.cache.get(seg)
+        if found is None or len(found) < n:
+            found = self.search(seg, n + 1)
+            if self.cached > _CACHE:
                 self.cache.clear()
-            self.cache[key] = self.search(seg, n + 1)
-        found = self.cache[key]
+                self.cached = 0
+            size = 200 + len(seg) + sum(150 + 40 * len(p) for _, p in found)
+            if size < _CACHE // 16:
+                self.cache[seg] = found
+                self.cached += size
         top = found[0][0]
         return [(0.0, best), *[(max(0.0, top - s), p) for s, p in found if p != best][: n - 1]]
 
@@ -234,23 +272,32 @@ class Lattice:
         return forward[n], np.maximum(0.0, forward[n] - second), path
 
     def _long(self, seg: bytes) -> tuple[float, float, list[int]]:
-        into = self.edges(seg)
-        forward, back = [0.0] + [-math.inf] * len(seg), [(0, 0)] * (len(seg) + 1)
-        for j in range(1, len(seg) + 1):
-            for i, s, p in into[j]:
-                if forward[i] + s > forward[j]:
-                    forward[j], back[j] = forward[i] + s, (i, p)
-        backward = [-math.inf] * len(seg) + [0.0]
-        for j in range(len(seg), 0, -1):
-            for i, s, _ in into[j]:
-                backward[i] = max(backward[i], s + backward[j])
-        path, at, on = [], len(seg), set()
+        first, start, piece = self.edges(seg)
+        first, worth = first.tolist(), self.worth
+        n = len(seg)
+        forward, back = array("d", [0.0]) + array("d", [-math.inf]) * n, array("q", [-1]) * (n + 1)
+        for j in range(1, n + 1):
+            for e in range(first[j], first[j + 1]):
+                s = forward[start[e]] + worth[piece[e]]
+                if s > forward[j]:
+                    forward[j], back[j] = s, e
+        backward = array("d", [-math.inf]) * n + array("d", [0.0])
+        for j in range(n, 0, -1):
+            for e in range(first[j], first[j + 1]):
+                s = worth[piece[e]] + backward[j]
+                if s > backward[start[e]]:
+                    backward[start[e]] = s
+        path, at, on = [], n, bytearray(len(start))
         while at:
-            i, p = back[at]
-            on.add((i, at, p))
-            path.append(p)
-            at = i
-        second = max((forward[i] + s + backward[j] for j in range(1, len(seg) + 1) for i, s, p in into[j] if (i, j, p) not in on), default=-math.inf)
+            e = back[at]
+            on[e] = 1
+            path.append(piece[e])
+            at = start[e]
+        second = -math.inf
+        for j in range(1, n + 1):
+            for e in range(first[j], first[j + 1]):
+                if not on[e]:
+                    second = max(second, forward[start[e]] + worth[piece[e]] + backward[j])
         return forward[-1], max(0.0, forward[-1] - second), path[::-1]
 
     # -- whole texts ------------------------------------------------------------------------------------------

@@ -58,7 +58,8 @@ FROM g
 
 _MIXING = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, '')) AS name FROM documents),
 src AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(size) AS DOUBLE) AS words,
          [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM sized GROUP BY source),
@@ -90,7 +91,7 @@ b7 AS (
          target - sum(floor(copies) * words) OVER (PARTITION BY source) AS lacks FROM b6),
 u AS (
   SELECT s.*, b.target, b.source_size, b.certain, b.chance, b.lacks,
-         (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':mix'), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0::DOUBLE AS u
+         (CAST('0x' || substr(md5(name || ':mix'), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0::DOUBLE AS u
   FROM sized s JOIN b7 b ON s.source IS NOT DISTINCT FROM b.source AND greatest(length(bin(s.size)), 1) = b.bits),
 o AS (SELECT *, (u / (1 - u)) / (chance / (1 - chance)) AS odds FROM u WHERE chance > 0 AND size > 0),
 fit AS (

@@ -1,15 +1,18 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed word unigrams and bigrams are counted: one over target texts (labelled good), one
-over all raw texts. A text's weight is the mean log ratio of the two over its n-grams, shrunk towards 0 for short
-texts, times ``SHARPNESS``. Gumbel noise drawn from the doc_id is added and the k largest sums are kept, which is
-sampling without replacement in proportion to the weights. k is the number of texts whose ratio is no more than
-``MARGIN`` below that of the lowest ``TAIL`` of the target texts: the model has seen those, so their ratios lie a
-little higher than those of other texts as good.
+over all raw texts. A text's log weight is the log ratio of the two, as the mean over its n-grams, shrunk towards 0 for short
+texts, times ``TEMPER``: the summed ratio of so many n-grams, so that long texts do not win by length. Gumbel noise drawn
+from the doc_id and the seed is added and the k largest sums are kept, which is sampling k texts without replacement in
+proportion to the weights. k is a parameter, a number of texts or a share of those with words. Left out, it is the
+number of texts that the target could have produced: those whose ratio is no more than ``MARGIN`` below that of the
+lowest ``TAIL`` of the target texts, which the model has seen, so their ratios lie a little higher than those of others.
 
 The target model is fitted on at most ``TARGET_SAMPLE`` labelled documents, those with the smallest digests; the raw
 model, the ratios, k and the selection cover all documents. A null text and one without words has no weight and is
-never kept. Without target texts all weights are 0 and every text with words is kept.
+never kept. Without target texts all weights are equal and, if k is left out, every text with words is kept. The noise is
+drawn from the id and the ratio, so null or repeated ids draw for themselves unless their texts are equal too; such rows
+share one fate, at the cut as well. An empty table gives an empty one; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -18,22 +21,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm._counts import class_counts
 from larkspur.llm._store import read_table, save, ship
-from larkspur.llm._text import raw_bytes, slices, window_hashes, word_hashes
+from larkspur.llm._text import raw_bytes, slices, uniform, window_hashes, word_hashes
 
 BUCKETS = 1 << 16
 TARGET_SAMPLE = 20_000
 SMOOTHING = 1.0
 SHRINK = 20
-SHARPNESS = 200.0
+TEMPER = 60.0
 TAIL = 0.005
 MARGIN = 0.03
 BINS = 4096
+SORT_MOST = 100_000
 
 
 def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -53,11 +56,6 @@ def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out[keep], np.concatenate([[0], np.cumsum(keep.sum(1))])[first]
 
 
-def uniform(key: Column, seed: str) -> Column:
-    bits = F.conv(F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(":" + seed))), 1, 12), 16, 10)
-    return (bits.cast("double") + F.lit(0.5)) / F.lit(float(2**48))
-
-
 def fit(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """The log ratio of each bucket. targets: ids of target texts; those beyond TARGET_SAMPLE are not used."""
     ids = targets.select(F.col(id_col).alias("target_id")).where("target_id is not null").distinct()
@@ -92,33 +90,62 @@ def ratios(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col:
     return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n_grams long, log_ratio double")
 
 
-def keep_largest(rows: DataFrame, key: str, k: Column, tie: str) -> DataFrame:
-    """rows with ``kept``: whether the row is among the k largest by key, ties by the smaller ``tie``; never where
-    key is null. Rows are counted in BINS parts of the key's range; only the part that holds the k-th is sorted."""
-    spread = rows.agg(F.min(key).alias("low"), F.max(key).alias("high"), k.alias("k"))
-    part = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("high") - F.col(key)) / (F.col("high") - F.col("low")) * BINS), F.lit(BINS - 1))).otherwise(F.lit(0)).cast("int")
-    binned = rows.join(F.broadcast(spread), F.lit(True)).withColumn("part", F.when(F.col(key).isNotNull(), part))
-    sums = binned.where("part is not null").groupBy("part", "k").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(W.partitionBy("k").orderBy("part"))  # BINS rows at most
-    cut = sums.withColumn("upto", upto).where("upto >= k").agg(F.min("part").alias("cut"), F.min_by(F.col("upto") - F.col("n"), "part").alias("before"))
-    binned = binned.join(F.broadcast(cut), F.lit(True), "left")
-    place = F.row_number().over(W.partitionBy("part").orderBy(F.col(key).desc(), tie))
-    inside = binned.where("part = cut").withColumn("kept", F.col("before") + place <= F.col("k"))
-    outside = binned.where("part is null or cut is null or part != cut").withColumn("kept", F.coalesce((F.col("part") < F.col("cut")) | (F.col("part").isNotNull() & F.col("cut").isNull()), F.lit(False)))
-    return inside.unionByName(outside).drop("low", "high", "k", "part", "cut", "before")
-
-
-def resample(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: str = "gumbel") -> DataFrame:
-    """(doc_id, n_grams, log_ratio, gumbel_key, kept), a row for each row of docs."""
+def _narrowed(rows: DataFrame, column: str, need: int, falling: bool) -> tuple[float | int, float | int, int, int]:
+    """(low, high, need, n): a range of the column's values that holds the need-th, its place among the n rows in it. Each
+    pass counts BINS parts of the range and goes on with the part that holds the place, until at most SORT_MOST rows or
+    one value are left."""
+    low, high, n = rows.agg(F.min(column), F.max(column), F.count("*")).first()
+    while n > SORT_MOST and low < high:
+        ahead = (F.lit(high) - F.col(column)) if falling else (F.col(column) - F.lit(low))
+        part = F.least(F.floor(ahead / F.lit(high - low) * BINS), F.lit(BINS - 1)).alias("part")
+        counted = rows.where(F.col(column).between(low, high)).groupBy(part).agg(F.count("*"), F.min(column), F.max(column)).orderBy("part").collect()  # BINS rows at most
+        for _, n, low, high in counted:
+            if need <= n:
+                break
+            need -= n
+    return low, high, need, n
+
+
+def keep_largest(rows: DataFrame, key: str, k: int, tie: str) -> DataFrame:
+    """rows with ``kept``: whether the row is among the k largest by key, ties by the smaller ``tie``, null last; never
+    where key is null. Rows that agree in both share one fate. The rows should be a written table: it is read a few times,
+    and no task or driver ever holds more than SORT_MOST rows or BINS counts, however the keys are spread."""
+    present = rows.where(F.col(key).isNotNull())
+    if k <= 0 or k >= present.count():
+        return rows.withColumn("kept", F.col(key).isNotNull() & F.lit(k > 0))
+    low, high, need, n = _narrowed(present, key, k, True)
+    inside = present.where(F.col(key).between(low, high))
+    known = inside.where(F.col(tie).isNotNull())
+    if n <= SORT_MOST:
+        cut, last = inside.orderBy(F.col(key).desc(), F.col(tie).asc_nulls_last()).select(key, tie).offset(need - 1).first()
+    elif need > known.count():
+        cut, last = low, None
+    else:
+        first, end, need, _ = _narrowed(known, tie, need, False)
+        cut, last = low, known.where(F.col(tie).between(first, end)).orderBy(tie).select(tie).limit(SORT_MOST).offset(need - 1).first()[0] if first < end else first
+    level = F.lit(True) if last is None else F.coalesce(F.col(tie) <= F.lit(last), F.lit(False))
+    return rows.withColumn("kept", F.coalesce((F.col(key) > F.lit(cut)) | ((F.col(key) == F.lit(cut)) & level), F.lit(False)))
+
+
+def texts_like_targets(scored: DataFrame, targets: DataFrame, id_col: str = "doc_id") -> int:
+    """The number of texts whose ratio is no more than MARGIN below that of the lowest TAIL of the target texts."""
+    goal = targets.select(F.col(id_col).alias("target_id")).distinct()
+    floor = scored.join(goal, F.col("doc_id") == F.col("target_id"), "left_semi").agg(F.percentile_approx("log_ratio", TAIL, 10000)).first()[0]
+    return scored.where(F.col("log_ratio").isNotNull() if floor is None else F.col("log_ratio") >= F.lit(floor - MARGIN)).count()
+
+
+def resample(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: str = "gumbel", k: int | float | None = None, temper: float = TEMPER) -> DataFrame:
+    """(doc_id, n_grams, log_ratio, gumbel_key, kept), a row for each row of docs. k: how many texts to sample, or with a float
+    which share of those with words."""
     ship(docs.sparkSession)
     scored = ratios(docs, fit(docs, targets, id_col, text_col), id_col, text_col)
-    noise = -F.log(-F.log(uniform(F.col("doc_id"), seed)))
-    scored = save(scored.withColumn("gumbel_key", F.col("log_ratio") * SHARPNESS + noise), "resampling")
-    goal = targets.select(F.col(id_col).alias("target_id")).distinct()
-    tail = scored.join(goal, F.col("doc_id") == F.col("target_id"), "left_semi").agg((F.percentile_approx("log_ratio", TAIL, 10000) - MARGIN).alias("floor_ratio"))
-    rows = scored.join(F.broadcast(tail), F.lit(True))
-    k = F.count_if((F.col("log_ratio") >= F.col("floor_ratio")) | (F.col("log_ratio").isNotNull() & F.col("floor_ratio").isNull()))
-    return keep_largest(rows, "gumbel_key", k, "doc_id").drop("floor_ratio")
+    draw = uniform(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("log_ratio").cast("string")), seed)
+    scored = save(scored.withColumn("gumbel_key", F.col("log_ratio") * temper - F.log(-F.log(draw))), "resampling")
+    if k is None:
+        k = texts_like_targets(scored, targets, id_col)
+    elif isinstance(k, float):
+        k = round(k * scored.where("log_ratio is not null").count())
+    return keep_largest(scored, "gumbel_key", k, "doc_id")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ payload digests.
 
 Pages with equal payloads of at least ``REVISIT_BYTES`` are stored once, with the largest page_id; the others become
 revisit records that refer to it. A null payload counts as empty. A null page_id refers to nothing and is never
-referred to unless all in its group are null; rows that repeat the largest page_id are all responses.
+referred to unless all in its group are null; rows that repeat the largest page_id are all responses. An empty table
+gives no archive and an empty result; other columns are not looked at. Archives stay in the shared folder until
+``_store.clean``, those of failed attempts, which no manifest names, as well.
 """
 
 from __future__ import annotations
@@ -50,7 +52,9 @@ def _digest(data: bytes) -> str:
 
 def make_record(page_id: int | None, url: str | None, payload: bytes, digest_hex: str, full_bytes: int, kind: str, refers_to: int | None) -> bytes:
     """One gzip member. A revisit has no payload of its own; its headers tell the full payload's digest and length."""
-    ident = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+    # A response is named by its page, so that others can refer to it; what nothing refers to by all that it holds.
+    name = f"page:{page_id}" if kind == "response" and page_id is not None else f"{kind}:{page_id}:{digest_hex}:{url}"
+    ident = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(full_bytes).encode() + b"\r\n\r\n"
     block = http + (payload if kind == "response" else b"")
     uri = "".join(c if c > " " and c != "\x7f" else "%{:02X}".format(ord(c)) for c in url or "")
@@ -114,10 +118,20 @@ def read_records(stream) -> Iterator[Record]:
         yield Record(headers, _fields(http.decode("latin-1").split("\r\n")[1:]), payload)
 
 
+#: Schemes by which Hadoop's connectors go and the Arrow file systems of the same stores.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "wasbs": "abfss", "wasb": "abfs"}
+
+
+def arrow_uri(path: str) -> str:
+    """The URI by which Arrow opens a folder that Spark knows as ``path``."""
+    scheme, found, rest = path.partition("://")
+    return f"{_SCHEMES.get(scheme, scheme)}://{rest}" if found else path
+
+
 def _open(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(arrow_uri(path))
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:

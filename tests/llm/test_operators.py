@@ -5,8 +5,12 @@ import gzip
 import hashlib
 import io
 import itertools
+import math
 import random
 import re
+import resource
+import struct
+import time
 import zlib
 
 import numpy as np
@@ -15,7 +19,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.llm import fertility, jaccard, jpeg, language, mixing, pieces, pii, resampling, token_counts, warc
-from larkspur.llm._text import mix, raw_bytes, shingle_sets, slices, word_hashes
+from larkspur.llm._text import SEPARATORS, mix, raw_bytes, shingle_sets, slices, word_hashes
 
 SEP = r"[^\x20\x09-\x0D]+"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -178,6 +182,52 @@ def test_boundary_is_the_cheapest(spark):
 
 
 # -- 2
+def test_metrics_and_verdicts_against_brute_force(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=token_counts.vocabulary_path(fertility.VOCABULARY))
+    r, rows = random.Random(21), []
+    for i in range(160):
+        t = words(r.randint(55, 120), i, 4000) + "".join(r.choice("é漢ཀ#<|x ") for _ in range(r.choice([0, 0, 3, 200])))
+        rows.append((i, t, r.choice(["en", "en", "de", None])))
+    rows += [(900, "short #text", "en"), (901, None, "en"), (902, "", None), (5, rows[5][1], rows[5][2])]
+    measured = {}
+    for n, (_, t, lang) in enumerate(rows):
+        ids = sp.encode(t or "")
+        share = [ids.count(x) / len(ids) for x in set(ids)]
+        entropy = -sum(p * math.log2(p) for p in share) / math.log2(len(ids)) if len(ids) > 1 else 1.0
+        w = re.findall(SEP, t or "")
+        three = list(zip(w, w[1:], w[2:], strict=False))
+        twice = {i + k for i, x in enumerate(three) if three.count(x) > 1 for k in range(3)}
+        m = {"chars_per_token": len(t) / len(ids) if ids else 0.0, "fallback_share": sum(sp.is_byte(x) for x in ids) / len(ids) if ids else 0.0, "token_entropy": entropy}
+        measured[n] = (m, len(ids), len(w) < 50 or 2 * len(twice) > len(w), lang or "script:" + fertility.script_of(t or ""), fertility.script_of(t or ""), sum((t or "").count(c) for c in "#*$%&|<>"))
+
+    def band(members, m):
+        values = sorted(round(measured[n][0][m] + 1e-12, fertility.DIGITS) for n in members)
+        low, mid, high = (values[math.ceil(q * len(values)) - 1] for q in (0.25, 0.5, 0.75))
+        return mid, max(fertility.FLOOR[m], fertility.WIDTH[m] * (high - low) / 1.349)
+
+    good = [n for n in measured if not measured[n][2]]
+    want = []
+    for n, (m, tokens, failed, group, script, symbols) in measured.items():
+        own = [x for x in good if measured[x][3] == group]
+        members = own if len(own) >= fertility.JUDGES else [x for x in good if measured[x][4] == script]
+        verdict = "ok"
+        for k in reversed(fertility.METRICS):
+            if not members:
+                continue
+            mid, half = band(members, k)
+            half = half * math.sqrt(max(fertility.LEAST / len(own), 1) if own else fertility.LEAST) + fertility.NOISE[k] / math.sqrt(max(tokens, 1))
+            if m[k] > mid + half or (m[k] < mid - half and k != "fallback_share"):
+                verdict = k
+        want.append((rows[n][0], tokens, symbols, failed, verdict, not failed and verdict == "ok", *(round(m[k], 6) for k in fertility.METRICS)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [(x.doc_id, x.n_tokens, x.n_symbols, x.base_failed, x.verdict, x.kept, *(round(x[k], 6) for k in fertility.METRICS)) for x in fertility.with_verdict(df).select("doc_id", "fertility.*").collect()]
+    assert sorted(got) == sorted(want)
+    again = fertility.with_verdict(df.withColumn("fertility", F.lit("x")).repartition(7)).select("doc_id", "fertility.kept").collect()
+    assert sorted((x.doc_id, x.kept) for x in again) == sorted((x[0], x[5]) for x in want)
+
+
 def test_base_counts(docs):
     got = fertility.with_verdict(docs).select("text", "fertility.*").collect()
     assert len(got) == docs.count()
@@ -229,6 +279,33 @@ def test_token_counts(docs):
     long = words(3000, 8) + "  \n  " + "x" * 500
     assert sum(len(t.encode(p)) for p in token_counts.safe_pieces(long, 700)) == len(t.encode(long))
     assert "".join(token_counts.safe_pieces(long, 700)) == long
+    assert token_counts.spaces_begin_tokens(t) and not token_counts.spaces_begin_tokens(Tokenizer.from_file(token_counts.vocabulary_path("word_bpe_49k.json")))
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_long_texts_have_the_tokens_of_the_whole(name):
+    # Far above the length at which texts are cut, with marks, runs of spaces and special strings in them.
+    r = random.Random(name)
+    text = " ".join(r.choice(["word", "Ünder", "  ", "▁", "▁ ▁", "x▁", "漢字", "<|endoftext|>", "</s>", "1234", "\n"]) for _ in range(60_000))
+    assert len(text) > 2 * token_counts.PIECE_CHARS
+    path = token_counts.vocabulary_path(name)
+    if name.endswith(".model"):
+        import sentencepiece
+
+        want = sentencepiece.SentencePieceProcessor(model_file=path).encode(text)
+        row = fertility.measure(pa.array([text]), name)[0]
+        assert row["n_tokens"] == len(want) and row["chars_per_token"] == len(text) / len(want)
+    else:
+        from tokenizers import Tokenizer
+
+        want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert token_counts.count_tokens(pa.array([text, None, "", text[:9]]), name)[:3] == [len(want), 0, 0]
+
+
+def test_counts_replace_a_column_of_their_name(spark):
+    df = spark.createDataFrame([(1, "a b", "x"), (None, None, "y")], "doc_id long, text string, n_tokens string")
+    assert sorted((x.n_tokens for x in token_counts.with_token_counts(df).collect())) == [0, 2]
+    assert token_counts.with_token_counts(df.where("false")).count() == 0
 
 
 # -- 5
@@ -257,6 +334,24 @@ def test_base_spans_against_the_patterns():
         assert [s[:3] for s in pii.find_spans(t) if s.kind in pii.BASE_KINDS] == brute_spans(t), t
 
 
+def test_spans_of_long_texts_take_linear_time():
+    for text in ("1" * 10**6, "1.1" * 300_000, "+1(" * 300_000, "a@" * 300_000, "+" * 10**6, "AB12" * 250_000, "DE89 3704 0044 " * 60_000, "token " * 150_000):
+        begin = time.process_time()
+        pii.find_spans(text)
+        assert time.process_time() - begin < 8, text[:8]
+
+
+def test_spans_as_columns(spark):
+    rows = [(1, "call +49 30 1234567 now, 10.0.0.1", "x"), (1, "call +49 30 1234567 now, 10.0.0.1", "x"), (None, "", "y"), (2, None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pii_spans string")
+    got = sorted(((x.doc_id, [(s.kind, s.start, s.end) for s in x.pii_spans]) for x in pii.with_spans(df).collect()), key=repr)
+    assert got == [(1, [("ip", 25, 33), ("phone", 5, 19)])] * 2 + [(2, []), (None, [])]
+    assert pii.with_spans(df.where("false")).count() == 0 and pii.redact(df.where("false")).count() == 0
+    assert sorted((x.text for x in pii.redact(df).collect()), key=repr)[:3] == ["", "call [PHONE] now, [IP]", "call [PHONE] now, [IP]"]
+    # Context on both sides, words that speak against it before.
+    assert [s.kind for s in pii.find_spans("123-45-6789 is my ssn")] == ["ssn"] and pii.find_spans("order 123-45-6789 shipped") == []
+
+
 def test_added_spans_and_redaction(docs):
     t = "pay to IBAN GB82 WEST 1234 5698 7654 32 or token = 'abcdefgh12345678' my ssn 123-45-6789; and then, a long way behind all of that, code 123-45-6789"
     assert [s.kind for s in pii.find_spans(t)] == ["iban", "ssn", "secret"]
@@ -280,6 +375,82 @@ def test_iban_before_other_tokens():
 
 
 # -- 1
+def brute_language(texts, trained):
+    """Languages by plain loops: trigrams of each word, EM over words, nested sets while the penalised likelihood gains."""
+    fold = lambda t: [32 if b in SEPARATORS else b + 32 if 65 <= b <= 90 else b for b in t.encode()]
+
+    def split(t):
+        b, out = fold(t), []
+        for i, c in enumerate(b):
+            if c == 32:
+                continue
+            before, after = b[i - 1] if i else 32, b[i + 1] if i + 1 < len(b) else 32
+            code = (before << 16 | c << 8 | after) * 0x9E3779B1 % 2**32 >> 16
+            if before == 32:
+                out.append([])
+            out[-1].append(code)
+        return out
+
+    counts = {}
+    for text, lang in trained:
+        mine = counts.setdefault(lang, {})
+        for w in split(text):
+            for g in w:
+                mine[g] = mine.get(g, 0) + 1
+    names, found = sorted(counts), []
+    total = {k: sum(counts[k].values()) + language.SMOOTHING * language.BUCKETS for k in names}
+    log = lambda k, g: math.log((counts[k].get(g, 0) + language.SMOOTHING) / total[k])
+
+    def expect(like, allowed):
+        share = [a / sum(allowed) for a in allowed]
+        for _ in range(language.ROUNDS):
+            parts = [[x * s for x, s in zip(w, share, strict=True)] for w in like]
+            share = [sum(p[k] / sum(p) for p in parts) / len(like) for k in range(len(names))]
+        return share, sum(math.log(sum(x * s for x, s in zip(w, share, strict=True))) for w in like)
+
+    for text in texts:
+        raw = [[sum(log(k, g) for g in w) for k in names] for w in split(text)]
+        like = [[math.exp(max(x - max(w), -200)) for x in w] for w in raw]
+        share, _ = expect(like, [1] * len(names))
+        order = sorted(range(len(names)), key=lambda k: -share[k])
+        single = [sum(math.log(w[k]) for w in like) for k in range(len(names))]
+        best = max(range(len(names)), key=lambda k: single[k])
+        if single[best] > single[order[0]]:
+            order = [best, *[k for k in order if k != best]]
+        value, chosen = single[order[0]], [float(k == order[0]) for k in range(len(names))]
+        for size in range(2, len(names) + 1):
+            s, fit = expect(like, [float(k in order[:size]) for k in range(len(names))])
+            fit -= (size - 1) * 0.5 * language.PENALTY * math.log(max(len(like), 2))
+            if fit <= value:
+                break
+            value, chosen = fit, s
+        found.append((names[chosen.index(max(chosen))], max(chosen)))
+    return found
+
+
+def test_language_against_brute_force(spark):
+    r, syllables = random.Random(13), {"aa": "to re n ti", "bb": "to ke ve ra", "cc": "ci re ve mo", "dd": "mo ke n zu"}
+    text = lambda lang, n: " ".join("".join(r.choice(syllables[lang].split()) for _ in range(r.randint(1, 4))) for _ in range(n))
+    trained = [(text(k, 60), k) for k in syllables for _ in range(8)]
+    texts = [text(a, r.randint(1, 40)) + " " + text(b, r.randint(1, 40)) for a in syllables for b in syllables]
+    names, model = language.learn(spark.createDataFrame(trained, "text string, lang string"))
+    df = spark.createDataFrame([(i, t, "zz") for i, t in enumerate(texts)], "doc_id long, text string, score string")
+    got = {x.doc_id: x for x in language.predict(df, names, model).collect()}
+    for i, (lang, score) in enumerate(brute_language(texts, trained)):
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(score, abs=1e-4), texts[i]
+
+
+def test_language_bounds(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "abc def", "aa"), (1, "abc def", "aa"), (2, "abc def", "bb"), (3, "x y " * 200_000, "cc")], "doc_id long, text string, lang string")
+    names, model = language.learn(df)
+    got = sorted((x.doc_id, x.lang_pred) for x in language.predict(df, names, model).collect())
+    assert got == [(1, "aa"), (1, "aa"), (2, "aa"), (3, "cc")]  # a tie goes to the first name
+    assert language.predict(df.where("false"), names, model).count() == 0
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        language.learn(df)
+
+
 def test_language(spark):
     r, syllables = random.Random(3), {"aa": ["tor", "ent", "ing"], "bb": ["schu", "keit", "ver"], "cc": ["ción", "que", "ado"]}
 
@@ -307,25 +478,88 @@ def test_resampling(spark):
     assert out[900].gumbel_key is None and not out[900].kept and not out[901].kept
     nothing = resampling.resample(rows, spark.createDataFrame([], "doc_id long"))
     assert nothing.where("kept").count() == 80
+    assert resampling.resample(rows.where("false"), nothing.select("doc_id")).count() == 0
 
 
-def test_keep_largest_is_exact(spark):
+def test_ratios_against_brute_force(spark, docs):
+    def grams(text):
+        w = re.findall(SEP, "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        data, offsets = raw_bytes(pa.array([text]))
+        found = resampling.ngrams(pa.array([text]))[0].tolist()
+        assert len(found) == max(0, 2 * len(w) - 1)
+        return found
+
+    rows = [tuple(r) for r in clashing(docs).select("doc_id", "text").collect()]
+    good = {0, 1, 2, 3}
+    raw, target = np.zeros(resampling.BUCKETS), np.zeros(resampling.BUCKETS)
+    for i, t in rows:
+        for g in grams(t):
+            raw[g] += 1
+            target[g] += i in good
+    log = lambda c: np.log((c + resampling.SMOOTHING) / (c.sum() + resampling.SMOOTHING * resampling.BUCKETS))
+    model = log(target) - log(raw)
+    want = sorted((i, len(grams(t)), round(float(model[grams(t)].sum() / (len(grams(t)) + resampling.SHRINK)), 5) if grams(t) else None) for i, t in rows if i is not None)
+    out = resampling.resample(clashing(docs), spark.createDataFrame([(i,) for i in good], "doc_id long"), k=5).collect()
+    assert sorted((r.doc_id, r.n_grams, None if r.log_ratio is None else round(r.log_ratio, 5)) for r in out if r.doc_id is not None) == want
+    # The five largest sums of log weight and noise, rows of one id and text together.
+    keyed = sorted(((r.gumbel_key, -(r.doc_id if r.doc_id is not None else 10**9)) for r in out if r.gumbel_key is not None), reverse=True)
+    assert all(r.kept == (r.gumbel_key is not None and (r.gumbel_key, -(r.doc_id if r.doc_id is not None else 10**9)) >= keyed[4]) for r in out)
+    for r in out:
+        if r.log_ratio is not None:
+            name = "null" if r.doc_id is None else str(r.doc_id)
+            assert r.gumbel_key > resampling.TEMPER * r.log_ratio - 5, name
+
+
+def test_inclusion_follows_the_weights(spark):
+    # 40 texts of weight 1 and 40 of weight e, ten taken: over many seeds the heavier are taken as sampling without
+    # replacement takes them, and the noise decides which.
+    from larkspur.llm._text import uniform
+
+    scored = spark.createDataFrame([(i, float(i >= 40)) for i in range(80)], "doc_id long, log_weight double")
+    seeds = spark.range(400).select(F.col("id").alias("seed"))
+    keyed = scored.join(seeds).withColumn("key", F.col("log_weight") - F.log(-F.log(uniform(F.concat_ws(":", "doc_id", "seed"), "t")))).collect()
+    heavy = []
+    for s in range(400):
+        top = sorted((r for r in keyed if r.seed == s), key=lambda r: -r.key)[:10]
+        heavy.append(sum(r.doc_id >= 40 for r in top))
+    r, want = np.random.default_rng(3), []
+    for _ in range(4000):
+        p = np.where(np.arange(80) >= 40, math.e, 1.0)
+        want.append((r.choice(80, 10, replace=False, p=p / p.sum()) >= 40).sum())
+    assert abs(np.mean(heavy) - np.mean(want)) < 0.3 and len(set(heavy)) > 3
+
+
+def test_k_and_seed_are_parameters(spark):
+    rows = spark.createDataFrame([(i, words(60, i, 50)) for i in range(100)], "doc_id long, text string")
+    goal = spark.createDataFrame([(i,) for i in range(50)], "doc_id long")
+    one, two = ({r.doc_id for r in resampling.resample(rows, goal, seed=s, k=k).where("kept").collect()} for s, k in (("a", 0.3), ("b", 30)))
+    assert len(one) == len(two) == 30 and one != two
+
+
+@pytest.mark.parametrize("most", [100_000, 20, 3])
+def test_keep_largest_is_exact(spark, monkeypatch, most):
+    monkeypatch.setattr(resampling, "SORT_MOST", most)
+    monkeypatch.setattr(resampling, "BINS", 7)
     r = random.Random(2)
-    rows = [(i, r.choice([1.0, 2.0, 2.5, r.random() * 3, None])) for i in range(400)]
-    got = resampling.keep_largest(spark.createDataFrame(rows, "doc_id long, key double"), "key", F.lit(137), "doc_id")
-    want = [i for i, _ in sorted((x for x in rows if x[1] is not None), key=lambda x: (-x[1], x[0]))[:137]]
-    assert sorted(x.doc_id for x in got.where("kept").collect()) == sorted(want) and got.count() == 400
+    rows = [(i if r.random() < 0.9 else None, r.choice([1.0, 2.0, 2.5, 1e9, r.random() * 3, None])) for i in range(300)] + [(5, 2.0)] * 20
+    df = spark.createDataFrame(rows, "doc_id long, key double")
+    order = lambda x: (-x[1], x[0] is None, x[0] or 0)
+    ranked = sorted((x for x in rows if x[1] is not None), key=order)
+    for k in (0, 1, 60, 100, 137, len(ranked), 999):
+        got = resampling.keep_largest(df, "key", k, "doc_id")
+        want = [x for x in ranked if k and order(x) <= order(ranked[min(k, len(ranked)) - 1])]
+        assert sorted(((x.doc_id, x.key) for x in got.where("kept").collect()), key=repr) == sorted(want, key=repr) and got.count() == 320
 
 
 # -- 7
 def all_paths(model, text):
     seg = b"".join(bytes([pieces.MARK]) if c == 32 else bytes([c]) for c in b" " + text.encode())
-    into = model.edges(seg)
+    first, start, piece = model.edges(seg)
 
     def upto(j):
         if not j:
             return [0.0]
-        return [s + t for i, t, _ in into[j] for s in upto(i)]
+        return [s + model.worth[piece[e]] for e in range(first[j], first[j + 1]) for s in upto(start[e])]
 
     return sorted(upto(len(seg)), reverse=True)
 
@@ -339,6 +573,23 @@ def test_n_best_against_every_path():
         assert all(model.decode(x) == text for _, x in got)
 
 
+def test_long_texts_without_a_space():
+    model, r = pieces.Lattice(), random.Random(6)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for letters in ("abcdefghijklmnop0123456789+/", "漢字的一是不了人我ab"):
+        text = "".join(r.choice(letters) for _ in range(100_000))
+        found = model.encode(pa.array([text]), 4)[0]
+        assert len(found) == 4 and all(model.decode(x) == text for _, x in found)
+        assert sorted((s for s, _ in found), reverse=True) == [s for s, _ in found]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+
+
+def test_pieces_of_nothing_and_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b", 0), (1, "a b", 0), (2, "", 0)], "doc_id long, text string, n_pieces int")
+    assert sorted((x.doc_id, x.n_pieces) for x in pieces.digests(df).collect()) == [(1, 2), (1, 2), (2, 0)]
+    assert pieces.digests(df.where("false")).count() == 0 and pieces.encode_decode(df.where("false")).count() == 0
+
+
 def test_pieces_of_long_segments_and_columns(spark, docs):
     model = pieces.lattice()
     long = "".join(random.Random(1).choice("abcdefgh漢") for _ in range(300))
@@ -362,6 +613,18 @@ def test_warc(spark, tmp_path):
     assert warc.read(warc.write(warc.plan_records(pages.where("false")), f"file://{tmp_path}/e"), f"file://{tmp_path}/e").count() == 0
 
 
+def test_warc_names(spark, tmp_path):
+    assert warc.arrow_uri("s3a://bucket/x") == "s3://bucket/x" and warc.arrow_uri("hdfs://h/x") == "hdfs://h/x" and warc.arrow_uri("/x") == "/x"
+    rows = [(None, "u", "a"), (None, "v", "a"), (1, "u", "b" * 2000), (2, "u", "b" * 2000), (None, "u", "b" * 2000)]
+    folder = f"file://{tmp_path}/n"
+    manifest = warc.write(warc.plan_records(spark.createDataFrame(rows, "page_id long, url string, html string")), folder)
+    names = []
+    for m in manifest.collect():
+        with open(f"{tmp_path}/n/{m.path}", "rb") as f:
+            names += [(r.headers["WARC-Record-ID"], r.headers.get("WARC-Refers-To")) for r in warc.read_records(f)]
+    assert len({n for n, _ in names}) == 5 and {x for _, x in names if x} <= {n for n, _ in names}
+
+
 def test_warc_members_and_damage():
     payload = b"<html>" + b"q" * 5000
     one = warc.make_record(7, "u", payload, hashlib.sha1(payload).hexdigest(), len(payload), "response", None)
@@ -400,6 +663,9 @@ def test_mix(spark, docs):
     for _, s, _, source_size, target, _ in first:
         assert source_size == sizes[s] and target == pytest.approx(targets[s])
     assert all(abs(taken[s] - targets[s]) <= 90 for s in sizes)
+    # Without ids, texts draw for themselves: no source is far from its target.
+    none = mixing.mix_counts(df.withColumn("doc_id", F.lit(None).cast("long"))).groupBy("source", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("t")).collect()
+    assert all(abs(x.t - x.target) <= 90 for x in none)
     mixed = mixing.mix_documents(clashing(docs))
     assert mixed.columns == clashing(docs).columns
     assert mixing.mix_documents(docs.where("false")).count() == 0
@@ -426,6 +692,83 @@ def test_thumbnail_is_the_mean_of_each_block():
     assert (j.width, j.height) == (24, 16)
 
 
+def encode_scan(j, names, blocks, restart=0):
+    """Bits of one scan: blocks holds the components' coefficients in the order in which the scan has them."""
+    dc, ac = jpeg._codes(*j.tables[0, 0]), jpeg._codes(*j.tables[1, 0])
+    before, bits, out = {}, "", b""
+
+    def put(v, codes, run):
+        size = int(abs(v)).bit_length()
+        code, length = codes[run * 16 + size]
+        return f"{code:0{length}b}" + (f"{v if v > 0 else v + (1 << size) - 1:0{size}b}" if size else "")
+
+    def flush(bits):
+        bits += "1" * (-len(bits) % 8)
+        return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+
+    for n, unit in enumerate(blocks):
+        if restart and n and n % restart == 0:
+            out += flush(bits) + bytes([0xFF, 0xD0 + (n // restart - 1) % 8])
+            bits, before = "", {}
+        for name, block in unit:
+            bits += put(int(block[0]) - before.get(name, 0), dc, 0)
+            before[name] = int(block[0])
+            run = 0
+            last = max(np.flatnonzero(block).tolist(), default=0)
+            for v in block[1 : last + 1].tolist():
+                if v == 0:
+                    run += 1
+                    continue
+                while run > 15:
+                    code, length = ac[0xF0]
+                    bits, run = bits + f"{code:0{length}b}", run - 16
+                bits += put(v, ac, run)
+                run = 0
+            if last < 63:
+                code, length = ac[0]
+                bits += f"{code:0{length}b}"
+    head = bytes([len(names)]) + b"".join(bytes([n, 0]) for n in names) + bytes([0, 63, 0])
+    return jpeg._segment(0xDA, head) + out + flush(bits)
+
+
+@pytest.mark.parametrize("wide", [False, True])
+@pytest.mark.parametrize("restart", [0, 3])
+@pytest.mark.parametrize("own_scans", [False, True])
+def test_colour_files_of_others(wide, restart, own_scans):
+    # 37 x 21 pixels, luminance twice as fine as the two others; fill bytes, a comment, 8- or 16-bit quantisation.
+    r, width, height = np.random.default_rng(5), 37, 21
+    model = jpeg.parse(jpeg.pack([bytes(64)])[0])
+    quant = r.integers(1, 40, 64)
+    table = bytes([wide << 4]) + (quant.astype(">u2") if wide else quant.astype(np.uint8)).tobytes()
+    sampling = {1: (2, 2), 2: (1, 1), 3: (1, 1)}
+    frame = struct.pack(">BHHB", 8, height, width, 3) + b"".join(bytes([i, h << 4 | v, 0]) for i, (h, v) in sampling.items())
+    across, down = -(-width // 16), -(-height // 16)
+    full = {i: np.where(r.random((down * v, across * h, 64)) < 0.2, r.integers(-60, 60, (down * v, across * h, 64)), 0) for i, (h, v) in sampling.items()}
+    data = b"\xff\xd8" + jpeg._segment(0xFE, b"made by hand") + jpeg._segment(0xDB, table) + b"\xff\xff" + jpeg._segment(0xC0, frame) + jpeg._OWN_TABLES
+    data += jpeg._segment(0xDD, struct.pack(">H", restart)) if restart else b""
+    if own_scans:
+        for i, (h, v) in sampling.items():
+            rows, columns = -(-(-(-height * v // 2)) // 8), -(-(-(-width * h // 2)) // 8)
+            full[i] = full[i][:rows, :columns]
+            data += encode_scan(model, [i], [[(i, b)] for b in full[i].reshape(-1, 64)], restart)
+    else:
+        units = [[(i, full[i][y * v + b, x * h + a]) for i, (h, v) in sampling.items() for b in range(v) for a in range(h)] for y in range(down) for x in range(across)]
+        data += encode_scan(model, [1, 2, 3], units, restart)
+    data += b"\xff\xd9"
+    for j in jpeg.decode([data] * 3 + [data[:-30]])[:3]:
+        assert all(np.array_equal(c.blocks, full[c.ident]) for c in j.components) and (j.width, j.height) == (width, height)
+        thumb = jpeg.thumbnail(j)
+        assert thumb.shape == (3, 5) and np.array_equal(thumb, np.clip((full[1][:3, :5, 0] * quant[0] + 4) // 8 + 128, 0, 255))
+    assert jpeg.decode([data[:-30]])[0] is None
+
+
+def test_media_of_nothing_long_and_repeated(spark):
+    df = spark.createDataFrame([(1, "x"), (1, "x"), (2, "long é " * 200_000)], "doc_id long, text string")
+    rows = jpeg.read_media(jpeg.store_text_media(df).withColumn("width", F.lit("mine"))).collect()
+    assert sorted((x.doc_id, x.n_bytes, x.payload_bytes) for x in rows) == [(1, 1, 64), (1, 1, 64), (2, 1_600_000, 1_600_000)]
+    assert jpeg.read_media(jpeg.store_text_media(df.where("false"))).count() == 0
+
+
 def test_media_columns(docs):
     stored = jpeg.store_text_media(clashing(docs))
     for r in jpeg.read_media(stored).join(docs.where("doc_id != 10"), "doc_id").collect():

@@ -45,6 +45,28 @@ def test_last_stage_encodes_n_best_and_decodes(spark):
     assert all(len(rows[i].other_pieces) == pieces.N_BEST - 1 for i in range(5))
 
 
+def test_nulls_repeats_and_odd_columns(spark, tmp_path):
+    r = random.Random(2)
+    text = lambda k: " ".join(f"w{random.Random(k).randrange(3000)}" for _ in range(90))
+    rows = [(i, text(i), "en", f"s{i % 3}", 0, "x", "y") for i in range(30)]
+    rows += [(3, text(3), "en", "s0", 0, "x", "y")] * 2 + [(None, text(5), None, None, None, "x", "y"), (None, text(77), "en", None, 0, "x", "y"), (4, text(78), "en", "s1", 0, "x", "y")]
+    rows += [(90, None, None, None, None, None, None), (91, "", "en", "s1", 0, None, None), (92, " ".join(f"v{r.randrange(10**6)}" for _ in range(40_000)), "en", "s1", 0, "x", "y")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node string, fertility string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/full/documents.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    seen = spark.read.parquet(f"{tmp_path}/full/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        columns = seen.columns
+        seen = stage(spark, seen, str(tmp_path))
+        assert seen.columns == columns, name
+        if name == "n-gram Jaccard join":
+            kept = sorted(((x.doc_id, x.text[:20]) for x in seen.collect()), key=repr)
+            assert kept == sorted([*((i, text(i)[:20]) for i in range(30)), (None, text(77)[:20]), (4, text(78)[:20]), (92, rows[-1][1][:20])], key=repr)
+    out = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    assert {x.doc_id for x in out} <= {*range(30), None, 92} and all(x.round_trip for x in out)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
 def test_registry():
     assert [f"op{n}_" in " ".join(queries.QUERIES) for n in range(1, 11)] == [True] * 10
     assert len(corpus_pipeline.STAGES) == 5 and set(queries.ORACLES) <= set(queries.QUERIES)
