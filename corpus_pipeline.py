@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame, which is
 written as Parquet and read again as the next stage's docs. All stages but the last return the columns of documents.
+
+Nulls, repeats and the like. A null, an empty and a short text fail the quality rules, so later stages see none of them
+here; on their own they keep them (a text without words is its own group, has no spans, and adds no words to the mix).
+Rows that repeat a doc_id, or have none, are rows of their own: of those with much the same text one stays. Columns beyond
+those of documents stay until the last stage, whatever their names. An empty table gives an empty result of the same
+schema. A long text is used whole in every stage.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import fertility, jaccard, mixing, pieces, pii
-from larkspur.llm._store import read_table, save
+from larkspur.llm._store import drop, read_table, save
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that the n-gram Jaccard join links, the one with the smallest doc_id stays."""
+    """Of each group of documents that the n-gram Jaccard join links, one with the smallest doc_id stays."""
     return jaccard.keep_one(docs)
 
 
@@ -52,8 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, over documents."""
-    docs = read_table(spark, sf_dir, "documents")
+    """The stages in order, over documents. The table of a stage goes when the next one's is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = save(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-').lower()}")
+        if before is not None:
+            drop(before)
+        before = docs
     return docs
