@@ -47,7 +47,8 @@ def test_last_stage_encodes_n_best_and_decodes(spark):
 
 def test_nulls_repeats_and_odd_columns(spark, tmp_path):
     r = random.Random(2)
-    text = lambda k: " ".join(f"w{random.Random(k).randrange(3000)}" for _ in range(90))
+    made = [" ".join(f"w{r.randrange(3000)}" for _ in range(90)) for _ in range(79)]
+    text = made.__getitem__
     rows = [(i, text(i), "en", f"s{i % 3}", 0, "x", "y") for i in range(30)]
     rows += [(3, text(3), "en", "s0", 0, "x", "y")] * 2 + [(None, text(5), None, None, None, "x", "y"), (None, text(77), "en", None, 0, "x", "y"), (4, text(78), "en", "s1", 0, "x", "y")]
     rows += [(90, None, None, None, None, None, None), (91, "", "en", "s1", 0, None, None), (92, " ".join(f"v{r.randrange(10**6)}" for _ in range(40_000)), "en", "s1", 0, "x", "y")]
