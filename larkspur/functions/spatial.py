@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Metres: the sphere of ST_DISTANCE_SPHERE and that of the geo commands, and their units.
 SPHERE = 6371000.0
 GEO_SPHERE = 6372797.560856
+#: Fixed value: the latitude up to which the geo commands take members.
+GEO_LATITUDE = 85.05112878
 GEO_UNITS = {"m": 1.0, "km": 1000.0, "mi": 1609.34, "ft": 0.3048}
 _NUMBER = r"\s*(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)\s*"
 _POINT = rf"(?i)^\s*POINT\s*\({_NUMBER}\s{_NUMBER}\)\s*$".replace(r"\s*\s\s*", r"\s+")
@@ -21,6 +23,13 @@ def _text(x: Column) -> Column:
     return F.when(x == F.floor(x), F.floor(x).cast("long").cast("string")).otherwise(x.cast("string"))
 
 
+def from_text(text: Column) -> Column:
+    """ST_GEOMFROMTEXT of points and polygons: the text as it is kept, null for what is neither."""
+    made = F.when(text.rlike(_POINT), point(x(text), y(text)))
+    ring = F.transform(_ring(text), lambda p: F.concat(_text(p["x"]), F.lit(" "), _text(p["y"])))
+    return made.when(text.rlike(r"(?i)^\s*POLYGON\s*\(\s*\("), F.concat(F.lit("POLYGON(("), F.array_join(ring, ", "), F.lit("))")))
+
+
 def x(g: Column) -> Column:
     return F.regexp_extract(g, _POINT, 1).try_cast("double")
 

@@ -8,11 +8,13 @@ is filtered when a table is read. Commands work on all keys of a table at once o
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.functions.spatial import GEO_UNITS, haversine
+from larkspur.functions.spatial import GEO_LATITUDE, GEO_SPHERE, GEO_UNITS, haversine
 
 
 # -- any table --------------------------------------------------------------------------------------------------
@@ -109,8 +111,12 @@ def ttl(t: DataFrame, now: Column, wanted: DataFrame) -> DataFrame:
 
 
 # -- strings and hashes -----------------------------------------------------------------------------------------
-def put(t: DataFrame, rows: DataFrame, ids: list[str], only: str | None = None) -> DataFrame:
-    """SET, MSET, HSET, HMSET: rows take the place of those with their ids. ``nx`` only adds, ``xx`` only changes."""
+def put(t: DataFrame, rows: DataFrame, ids: list[str], only: str | None = None, order: Column | None = None) -> DataFrame:
+    """SET, MSET, HSET, HMSET: rows take the place of those with their ids. ``nx`` only adds, ``xx`` only changes. Of several
+    rows of the same ids the last by order counts, with ``nx`` the first; without an order the greatest and the least row."""
+    held = F.struct(*[F.col(c) for c in rows.columns])
+    pick = F.min_by if only == "nx" else F.max_by
+    rows = rows.groupBy(*[F.col(c).alias(f"_id_{c}") for c in ids]).agg(pick(held, order if order is not None else held).alias("_row")).select("_row.*")
     if only == "nx":
         return t.unionByName(rows.join(t.select(*ids), ids, "left_anti").select(*t.columns))
     if only == "xx":
@@ -136,6 +142,44 @@ def incr(t: DataFrame, deltas: DataFrame, ids: list[str], value: str = "value",
     return rows.groupBy(*ids).agg(F.sum(value).alias(value))
 
 
+def getset(t: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """GETSET, SET with GET: (the table afterwards, without expiry for what was set; the old value of each key, null if none)."""
+    old = mget(t, rows.select("key").distinct(), ["key"])
+    return put(t, rows.withColumn("expire_at", F.lit(None).cast(t.schema["expire_at"].dataType)), ["key"]), old
+
+
+def set_keepttl(t: DataFrame, rows: DataFrame) -> DataFrame:
+    """SET with KEEPTTL: the expiry of a key that is there stays."""
+    old = t.select("key", F.col("expire_at").alias("_old"))
+    kept = rows.drop("expire_at").join(old, "key", "left").withColumnRenamed("_old", "expire_at")
+    return put(t, kept.select(*t.columns), ["key"])
+
+
+def pttl(t: DataFrame, now: Column, wanted: DataFrame, ids: list[str], expiry: str = "expire_at") -> DataFrame:
+    """PTTL, HPTTL: milliseconds to live: -1 without expiry, -2 for what is not there."""
+    left = wanted.select(*ids).distinct().join(t.select(*ids, F.col(expiry).alias("_at"), F.lit(True).alias("there")), ids, "left")
+    millis = F.unix_micros(F.col("_at").cast("timestamp")) / 1000 - F.unix_micros(now.cast("timestamp")) / 1000
+    return left.select(*ids, F.when(F.col("there").isNull(), -2).when(F.col("_at").isNull(), -1).otherwise(F.ceil(millis)).cast("long").alias("pttl"))
+
+
+def expiretime(t: DataFrame, wanted: DataFrame) -> DataFrame:
+    """EXPIRETIME: seconds of the epoch: -1 without expiry, -2 for a key that is not there."""
+    left = wanted.select("key").distinct().join(t.select("key", "expire_at", F.lit(True).alias("there")), "key", "left")
+    return left.select("key", F.when(F.col("there").isNull(), -2).when(F.col("expire_at").isNull(), -1).otherwise(F.floor(F.unix_micros(F.col("expire_at").cast("timestamp")) / 1000000)).cast("long").alias("at"))
+
+
+def hexists(t: DataFrame, wanted: DataFrame) -> DataFrame:
+    there = t.select("key", "field", F.lit(1).alias("there")).distinct()
+    return wanted.join(there, ["key", "field"], "left").select("key", "field", F.coalesce("there", F.lit(0)).alias("there"))
+
+
+def spop(t: DataFrame, count: int, seed: str = "spop") -> tuple[DataFrame, DataFrame]:
+    """SPOP: (members that stay, members taken): count members of each key in the order of a digest, so reruns agree."""
+    order = F.md5(F.concat_ws(":", "member", F.lit(seed)))
+    ranked = t.withColumn("_r", F.row_number().over(W.partitionBy("key").orderBy(order, "member")))
+    return ranked.where(F.col("_r") > count).drop("_r"), ranked.where(F.col("_r") <= count).drop("_r")
+
+
 def append(value: Column, tail: Column) -> Column:
     return F.concat(F.coalesce(value, F.lit("")), tail)
 
@@ -394,14 +438,15 @@ def getbit(t: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def bitnot(t: DataFrame, name: str) -> DataFrame:
     """(bit): the bits of whole bytes that are 0 in a key."""
-    ones = t.where(F.col("key") == name).select("bit").distinct()
-    ends = ones.agg(F.max("bit").alias("top")).where("top is not null")
-    return ends.select(F.explode(F.sequence(F.lit(0).cast("long"), (F.floor(F.col("top") / 8) * 8 + 7).cast("long"))).alias("bit")).join(ones, "bit", "left_anti")
+    ones = t.where(F.col("key") == name).select(F.col("bit").cast("long").alias("bit")).distinct()
+    top = ones.agg(F.max("bit")).first()[0]  # one number
+    every = t.sparkSession.range(0 if top is None else (top // 8 + 1) * 8).select(F.col("id").alias("bit"))
+    return every.join(ones, "bit", "left_anti")
 
 
 def geoadd(t: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows out of the range of Web Mercator are refused, the others take the place of those with their ids."""
-    fit = rows.where(F.col("lon").between(-180, 180) & F.col("lat").between(-85.05112878, 85.05112878))
+    fit = rows.where(F.col("lon").between(-180, 180) & F.col("lat").between(-GEO_LATITUDE, GEO_LATITUDE))
     return put(t, fit, ["key", "member"])
 
 
@@ -409,10 +454,31 @@ def geodist(a_lon: Column, a_lat: Column, b_lon: Column, b_lat: Column, unit: st
     return haversine(a_lon, a_lat, b_lon, b_lat) / GEO_UNITS[unit]
 
 
+def _in_box(lon: float, lat: float, angle: float) -> Column:
+    """Whether a member lies in the box of degrees around a circle of so many radians; over a pole all longitudes do."""
+    reach = math.degrees(angle)
+    inside = F.col("lat").between(lat - reach, lat + reach)
+    if abs(lat) + reach >= 90 or angle >= math.pi / 2:
+        return inside
+    wide = math.degrees(math.asin(min(1.0, math.sin(angle) / math.cos(math.radians(lat))))) + 1e-9
+    away = F.abs(F.col("lon") - lon)
+    return inside & (F.least(away, 360 - away) <= wide)
+
+
+def geosearch_box(t: DataFrame, lon: float, lat: float, width: float, height: float, unit: str = "m") -> DataFrame:
+    """BYBOX: members no further east or west than half the width, along their own parallel, and no further north or south
+    than half the height."""
+    east = haversine(F.lit(lon), F.col("lat"), F.col("lon"), F.col("lat")) / GEO_UNITS[unit]
+    north = haversine(F.lit(lon), F.lit(lat), F.lit(lon), F.col("lat")) / GEO_UNITS[unit]
+    near = t.where(F.col("lat").between(lat - math.degrees(height * GEO_UNITS[unit] / GEO_SPHERE), lat + math.degrees(height * GEO_UNITS[unit] / GEO_SPHERE)))
+    near = near.where((east <= width / 2) & (north <= height / 2))
+    return near.withColumn("dist", geodist(F.col("lon"), F.col("lat"), F.lit(lon), F.lit(lat), unit))
+
+
 def geosearch(t: DataFrame, lon: float, lat: float, radius: float, unit: str = "m", count: int | None = None) -> DataFrame:
     """Members within a radius, nearest first for each key. A box of degrees prunes rows before distances are taken."""
-    reach = radius * GEO_UNITS[unit] / 6372797.560856 * 57.29577951308232
-    found = t.where(F.col("lat").between(lat - reach, lat + reach)).withColumn("dist", geodist(F.col("lon"), F.col("lat"), F.lit(lon), F.lit(lat), unit)).where(F.col("dist") <= radius)
+    angle = radius * GEO_UNITS[unit] / GEO_SPHERE
+    found = t.where(_in_box(lon, lat, angle)).withColumn("dist", geodist(F.col("lon"), F.col("lat"), F.lit(lon), F.lit(lat), unit)).where(F.col("dist") <= radius)
     if count is not None:
         found = found.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("dist", "member"))).where(F.col("r") <= count).drop("r")
     return found

@@ -25,21 +25,29 @@ def insert(table: DataFrame, rows: DataFrame, defaults: Mapping[str, Column] | N
     return table.unionByName(full)
 
 
-def insert_ignore(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """INSERT IGNORE: rows whose key is there already are left out; the first of a key is taken."""
-    first = rows.dropDuplicates(keys)
+def _whole(rows: DataFrame) -> Column:
+    """An order of rows by all their values, for where none is given: any, but always the same."""
+    return F.struct(*[F.col(c) for c in rows.columns])
+
+
+def insert_ignore(table: DataFrame, rows: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
+    """INSERT IGNORE: rows whose key is there already are left out; of several of a key the first by order is taken, without
+    an order the least row."""
+    held = F.struct(*[F.col(c) for c in rows.columns]).alias("_row")
+    first = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.min_by(held, order if order is not None else _whole(rows)).alias("_row")).select("_row.*")
     return table.unionByName(first.join(table.select(*keys), keys, "left_anti").select(*table.columns))
 
 
 def replace(table: DataFrame, rows: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
-    """REPLACE: a row takes the place of the one with its key; of several the last by order."""
-    new = _last(rows, keys, order) if order is not None else rows.dropDuplicates(keys)
+    """REPLACE: a row takes the place of the one with its key; of several the last by order, without one the greatest row."""
+    new = _last(rows, keys, order if order is not None else _whole(rows))
     return table.join(new.select(*keys), keys, "left_anti").select(*table.columns).unionByName(new.select(*table.columns))
 
 
-def upsert(table: DataFrame, rows: DataFrame, keys: list[str], update: Mapping[str, Column]) -> DataFrame:
+def upsert(table: DataFrame, rows: DataFrame, keys: list[str], update: Mapping[str, Column], order: Column | None = None) -> DataFrame:
     """ON DUPLICATE KEY UPDATE. In ``update`` columns of the table go by their names, those of the new row as
-    ``new_<name>``; rows has one row a key."""
+    ``new_<name>``. Of several new rows of a key only the last by order updates, without an order the greatest row."""
+    rows = _last(rows, keys, order if order is not None else _whole(rows))
     new = rows.select(*[F.col(c).alias(f"new_{c}") for c in table.columns])
     on = [F.col(k) == F.col(f"new_{k}") for k in keys]
     both = table.join(new, on, "full_outer")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import operator
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The stopwords that results depend on. Pass another list as ``stopwords``.
@@ -30,37 +33,53 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return words.select("id", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
 
 
+def token_pattern(stopwords: tuple[str, ...] = STOPWORDS) -> str:
+    """A pattern whose matches in lower-case text are the tokens: one regular expression instead of an array of words."""
+    stop = "|".join(stopwords)
+    return rf"(?<![\p{{L}}\p{{N}}])(?!(?:{stop})(?![\p{{L}}\p{{N}}]))[\p{{L}}\p{{N}}]{{{MIN_LENGTH},}}+"
+
+
+def occurrences(lower: Column, term: str) -> Column:
+    return F.regexp_count(lower, F.lit(rf"(?<![\p{{L}}\p{{N}}]){term}(?![\p{{L}}\p{{N}}])"))
+
+
+def terms_of(spark: SparkSession, query: str) -> list[str]:
+    """The distinct tokens of one query, in order."""
+    return spark.range(1).select(F.array_distinct(tokens(F.lit(query)))).first()[0]
+
+
 def search(docs: DataFrame, id_col: str, text_col: str, query: str, mode: str = "or", top: int | None = 100) -> DataFrame:
-    """(id, score): sum over the query's terms of tf / length * ln(N / df). ``and`` needs all terms. Only postings of
-    the query's terms are counted; the number of documents joins as one row."""
-    spark = docs.sparkSession
-    terms = spark.range(1).select(F.explode(F.array_distinct(tokens(F.lit(query)))).alias("term"))
-    wanted = [r["term"] for r in terms.collect()]  # the words of one query
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
-    held = F.filter("words", lambda w: w.isin(wanted)) if wanted else F.slice("words", 1, 0)
-    hits = words.select("id", F.size("words").alias("length"), F.explode(held).alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
-    df = hits.groupBy(F.col("term").alias("d_term")).agg(F.count("*").alias("df"))
-    total = docs.agg(F.count("*").alias("n_docs"))
-    scored = hits.join(df, F.col("term") == F.col("d_term")).join(total, F.lit(True))
-    out = scored.groupBy("id").agg(F.sum(F.col("tf") / F.col("length") * F.ln(F.col("n_docs") / F.col("df"))).alias("score"), F.count("*").alias("n_terms"))
-    if mode == "and":
-        out = out.where(F.col("n_terms") == len(wanted))
-    out = out.select("id", "score")
+    """(id, score): sum over the query's terms of tf / length * ln(N / df). ``and`` needs all terms. Documents without a term
+    are left out before anything is counted; the numbers of documents join as one row, and nothing else is shuffled."""
+    wanted = terms_of(docs.sparkSession, query)
+    if not wanted:
+        return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
+    lower = F.lower(F.col(text_col))
+    held = docs.where(lower.rlike("|".join(wanted))).select(F.col(id_col).alias("id"), lower.alias("text"))
+    tf = held.select("id", "text", *[occurrences(F.col("text"), t).alias(f"tf_{i}") for i, t in enumerate(wanted)])
+    counts = tf.agg(*[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(wanted))]).join(docs.agg(F.count("*").alias("n_docs")), F.lit(True))
+    hit = [F.col(f"tf_{i}") > 0 for i in range(len(wanted))]
+    tf = tf.where(reduce(operator.and_ if mode == "and" else operator.or_, hit))
+    length = F.regexp_count("text", F.lit(token_pattern()))
+    rows = tf.withColumn("length", length).drop("text").join(counts, F.lit(True))
+    parts = [F.when(hit[i], F.col(f"tf_{i}") / F.col("length") * F.ln(F.col("n_docs") / F.col(f"df_{i}"))).otherwise(0.0) for i in range(len(wanted))]
+    out = rows.select("id", sum(parts[1:], parts[0]).alias("score"))
     return out.orderBy(F.col("score").desc(), "id").limit(top) if top else out
 
 
+def expand(docs: DataFrame, id_col: str, text_col: str, query: str, first: int = 5, add: int = 5, top: int | None = 100) -> DataFrame:
+    """Search WITH QUERY EXPANSION: the most frequent further tokens of the ``first`` best documents join the query."""
+    best = search(docs, id_col, text_col, query, top=first).select(F.col("id").alias("best_id"))
+    words = docs.join(best, F.col(id_col) == F.col("best_id"), "left_semi").select(F.explode(tokens(F.col(text_col))).alias("term"))
+    known = terms_of(docs.sparkSession, query)
+    more = words.where(~F.col("term").isin(known)).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "term").limit(add)
+    return search(docs, id_col, text_col, " ".join([*known, *(r["term"] for r in more.collect())]), top=top)  # ``add`` words
+
+
 def match_against(text: Column, query_terms: list[str], boolean: bool = False) -> Column:
     """Sum over the terms of tf / length, divided by the number of terms; in boolean mode 0 unless all are there."""
-    words = tokens(text)
-    counts = [F.size(F.filter(words, _equals(t))) for t in query_terms]
-    score = sum(counts[1:], counts[0]) / F.greatest(F.size(words), F.lit(1)) / len(query_terms)
-    if boolean:
-        every = counts[0] > 0
-        for n in counts[1:]:
-            every = every & (n > 0)
-        return F.when(every, score).otherwise(0.0)
-    return score
-
-
-def _equals(term: str):
-    return lambda w: w == term
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    counts = [occurrences(lower, t) for t in query_terms]
+    some = reduce(operator.and_ if boolean else operator.or_, [n > 0 for n in counts])
+    length = F.regexp_count(lower, F.lit(token_pattern()))
+    return F.when(some, sum(counts[1:], counts[0]) / F.greatest(length, F.lit(1)) / len(query_terms)).otherwise(0.0)

@@ -30,6 +30,27 @@ def by_hash(value: Column, n: int) -> Column:
     return F.coalesce(F.abs(value) % n, F.lit(0)).cast("int")
 
 
+def by_linear_hash(value: Column, n: int) -> Column:
+    """LINEAR HASH: the lowest bits that n needs, one bit less where that is no partition; null counts as 0."""
+    mask = (1 << (n - 1).bit_length()) - 1
+    whole = F.coalesce(F.abs(value).cast("long"), F.lit(0))
+    part = whole.bitwiseAND(F.lit(mask))
+    return F.when(part >= n, whole.bitwiseAND(F.lit(mask >> 1))).otherwise(part).cast("int")
+
+
+def by_range_columns(values: Sequence[Column], less_than: Sequence[tuple | None]) -> Column:
+    """RANGE COLUMNS: bounds are tuples, compared one column after another; None is MAXVALUE."""
+    out = None
+    for i, bound in enumerate(less_than):
+        if bound is None:
+            return F.lit(i) if out is None else out.otherwise(i)
+        below = F.lit(False)
+        for value, b in reversed(list(zip(values, bound, strict=True))):
+            below = (value < b) | ((value == b) & below)
+        out = F.when(below, i) if out is None else out.when(below, i)
+    return out
+
+
 def by_key(*values: Column, n: int) -> Column:
     """KEY of any columns, by a hash of them."""
     return F.pmod(F.xxhash64(*values), F.lit(n)).cast("int")

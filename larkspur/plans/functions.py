@@ -147,6 +147,12 @@ OTHERS = [
     ("st_distance", lambda: F.round(G.distance(G.point(c("p_size").cast("double"), F.lit(0.0)), F.lit("POINT(3 4)")), 9), "round(sqrt((p_size - 3)::DOUBLE * (p_size - 3) + 16), 9)"),
     ("st_distance_sphere", lambda: F.round(G.distance_sphere(G.point(c("p_size").cast("double"), F.lit(10.0)), F.lit("POINT(3 4)")), 3), "round(2 * 6371000.0::DOUBLE * asin(sqrt(pow(sin((radians(4.0::DOUBLE) - radians(10.0::DOUBLE)) / 2), 2) + cos(radians(10.0::DOUBLE)) * cos(radians(4.0::DOUBLE)) * pow(sin((radians(3.0::DOUBLE) - radians(p_size::DOUBLE)) / 2), 2))), 3)"),
     ("st_contains", lambda: G.contains(F.lit("POLYGON((0 0, 20 0, 20 20, 0 20, 0 0))"), G.point(c("p_size").cast("double") + 0.5, F.lit(7.5))), "p_size + 0.5 < 20"),
+    ("st_within", lambda: G.within(G.point(c("p_size").cast("double") + 0.5, F.lit(7.5)), F.lit("POLYGON((0 0, 20 0, 20 20, 0 20, 0 0))")), "p_size + 0.5 < 20"),
+    ("st_geomfromtext", lambda: G.from_text(F.concat(F.lit(" point( "), c("p_size").cast("string"), F.lit("   2.5 )"))), "'POINT(' || p_size || ' 2.5)'"),
+    ("charset", lambda: F.when(c("p_name").isNotNull(), "utf8mb4"), "CASE WHEN p_name IS NOT NULL THEN 'utf8mb4' END"),
+    ("cast_decimal", lambda: c("p_retailprice").cast("string").try_cast("decimal(12,1)").cast("double"), "CAST(TRY_CAST(CAST(p_retailprice AS VARCHAR) AS DECIMAL(12, 1)) AS DOUBLE)"),
+    ("cast_date", lambda: F.concat(F.lit("2024-01-"), F.lpad(c("p_size").cast("string"), 2, "0")).try_cast("date"), "TRY_CAST('2024-01-' || lpad(CAST(p_size AS VARCHAR), 2, '0') AS DATE)"),
+    ("cast_char", lambda: F.substring(c("p_name"), 1, 5), "substr(p_name, 1, 5)"),
     ("st_intersects", lambda: G.intersects(G.point(c("p_size").cast("double"), F.lit(1.0)), F.lit("POINT(7 1)")), "p_size = 7"),
     ("st_srid", lambda: G.srid(F.lit("POINT(1 1)")), "0"),
     ("st_astext", lambda: G.point(c("p_size").cast("double"), F.lit(1.0)), "'POINT(' || p_size || ' 1)'"),
@@ -199,6 +205,10 @@ DATES = [
     ("extract", lambda: D.extract("YEAR_MONTH", c(_d)), "CAST(year(o_orderdate) * 100 + month(o_orderdate) AS BIGINT)"),
     ("timestamp", lambda: D.moment(F.date_format(_d, "yyyy-MM-dd HH:mm:ss")), "date_trunc('second', o_orderdate)"),
     ("now", lambda: F.localtimestamp(), None),
+    ("utc_date", lambda: F.to_date(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())), None),
+    ("utc_timestamp", lambda: F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), None),
+    ("utc_time", lambda: F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "HH:mm:ss"), None),
+    ("curtime", lambda: F.date_format(F.current_timestamp(), "HH:mm:ss"), None),
     ("curdate", lambda: F.current_date(), None),
 ]
 for _name, _value, _oracle in DATES:
@@ -212,7 +222,7 @@ JSON = [
     ("json_array", lambda: J.array((c("event_id"), "bigint"), (c("event_type"), "string"), (F.lit(None).cast("int"), "int")), "'[' || event_id || ',\"' || event_type || '\",null]'"),
     ("json_set", lambda: J.extract(J.set_(c(_p), ("$.k", 5), ("$.new.x", 1), ("$.z", "a")), "$.k"), "CASE WHEN props IS NOT NULL THEN '5' END"),
     ("json_insert", lambda: J.extract(J.insert(c(_p), ("$.k", 5), ("$.z", "a")), "$.k"), "props->>'$.k'"),
-    ("json_replace", lambda: J.extract(J.replace(c(_p), ("$.k", 5), ("$.z", "a")), "$.z"), "CAST(NULL AS VARCHAR)"),
+    ("json_replace", lambda: J.extract(J.replace(c(_p), ("$.k", 5), ("$.z", "a")), "$.k"), "CASE WHEN json_extract(props, '$.k') IS NOT NULL THEN '5' END"),
     ("json_remove", lambda: J.length(J.remove(c(_p), "$.k")), "CAST(len(json_keys(props)) - (json_extract(props, '$.k') IS NOT NULL)::INT AS INT)"),
     ("json_keys", lambda: J.keys(c(_p)), "CAST(to_json(json_keys(props)) AS VARCHAR)"),
     ("json_length", lambda: J.length(c(_p)), "CAST(len(json_keys(props)) AS INT)"),

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from larkspur.catalog import query
 from larkspur.functions import json as J
+from larkspur.operators import interval, ranking
 from larkspur.operators.subqueries import compare_all, compare_any
-from larkspur.sources import TABLES, table, views
+from larkspur.sources import TABLES, files, table, views
 
 
 def sql(name: str, text: str, oracle: str | None = None) -> None:
@@ -89,7 +90,28 @@ sql("join_full", "SELECT s_suppkey, n_name, n_nationkey FROM supplier FULL JOIN
 sql("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 sql("join_natural", "SELECT n_nationkey, n_name, r_name FROM (SELECT n_nationkey, n_name, n_regionkey AS r_regionkey FROM nation) a NATURAL JOIN region")
 sql("join_using", "SELECT k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) a JOIN (SELECT r_regionkey AS k, r_name FROM region) b USING (k)")
-sql("join_theta", "SELECT a.p_partkey AS low, b.p_partkey AS high FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_retailprice < b.p_retailprice - 20")
+sql("join_theta", "SELECT a.n_name AS low, b.n_name AS high, r_name FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey - 3 JOIN region ON r_regionkey BETWEEN a.n_regionkey AND b.n_regionkey")
+sql("join_comma", "SELECT s_suppkey, n_name, r_name FROM supplier, nation, region WHERE s_nationkey = n_nationkey AND n_regionkey = r_regionkey")
+
+
+@query("join_band", "SELECT a.p_partkey AS low, b.p_partkey AS high FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_retailprice BETWEEN a.p_retailprice AND a.p_retailprice + 2 AND a.p_partkey <> b.p_partkey")
+def join_band(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    low = part.select("p_brand", F.col("p_partkey").alias("low"), F.col("p_retailprice").alias("price"))
+    high = part.select("p_brand", F.col("p_partkey").alias("high"), F.col("p_retailprice").alias("other"))
+    return interval.band_join(low, high, ["p_brand"], "price", "other", 0.0, 2.0).where("low <> high").select("low", "high")
+
+
+_ASOF = "SELECT e.event_id, c.event_id AS before FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY ALL) c ON e.user_id = c.user_id AND e.ts >= c.ts"
+
+
+@query("join_asof", _ASOF)
+def join_asof(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    clicks = events.where("event_type = 'click'").groupBy("user_id", "ts").agg(F.max("event_id").alias("before"))
+    return interval.asof_join(events, clicks, ["user_id"], "ts", ["before"]).select("event_id", "before")
+
+
 sql("join_semi", "SELECT s_suppkey FROM supplier LEFT SEMI JOIN nation ON s_nationkey = n_nationkey AND n_regionkey = 1", "SELECT s_suppkey FROM supplier SEMI JOIN nation ON s_nationkey = n_nationkey AND n_regionkey = 1")
 sql("join_anti", "SELECT doc_id FROM documents LEFT ANTI JOIN labels USING (doc_id)", "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
 sql("join_multi", "SELECT r_name, round(sum(l_extendedprice), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
@@ -107,7 +129,8 @@ sql("agg_group_concat_distinct", "SELECT o_orderstatus, listagg(DISTINCT o_order
 sql("agg_bits", "SELECT n_regionkey, bit_and(n_nationkey) AS a, bit_or(n_nationkey) AS o, bit_xor(n_nationkey) AS x FROM nation GROUP BY n_regionkey")
 sql("agg_bits_empty", "SELECT coalesce(bit_and(n_nationkey), -1) AS a, coalesce(bit_or(n_nationkey), 0) AS o, coalesce(bit_xor(n_nationkey), 0) AS x FROM nation WHERE n_nationkey < 0")
 sql("agg_statistics", "SELECT l_linestatus, round(stddev_pop(l_quantity), 6) AS sp, round(stddev_samp(l_quantity), 6) AS ss, round(var_pop(l_quantity), 6) AS vp, round(var_samp(l_quantity), 6) AS vs FROM lineitem GROUP BY l_linestatus")
-sql("agg_any_value", "SELECT n_regionkey, any_value(n_regionkey) AS v FROM nation GROUP BY n_regionkey")
+sql("agg_any_value", "SELECT n_regionkey, count(*) AS n, any_value(CASE WHEN n_regionkey > 1 THEN 'late' ELSE 'early' END) AS v FROM nation GROUP BY n_regionkey")
+sql("agg_count_nullable", "SELECT source, count(lang) AS langs, count(*) AS n, count(DISTINCT lang) AS kinds FROM documents GROUP BY source")
 sql("agg_rollup", "SELECT l_returnflag, l_linestatus, grouping(l_returnflag) AS gf, grouping(l_linestatus) AS gs, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)", "SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) AS TINYINT) AS gf, CAST(grouping(l_linestatus) AS TINYINT) AS gs, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 sql("agg_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 sql("agg_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
@@ -137,15 +160,36 @@ _FULL = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETW
 _RUN = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 sql("window_row_number", f"SELECT o_orderkey, row_number() {_OVER} AS n FROM orders", f"SELECT o_orderkey, CAST(row_number() {_OVER} AS INT) AS n FROM orders")
 _BY = "OVER (PARTITION BY l_returnflag ORDER BY l_quantity)"
-sql("window_rank", f"SELECT l_orderkey, l_linenumber, rank() {_BY} AS r, dense_rank() {_BY} AS d FROM lineitem", f"SELECT l_orderkey, l_linenumber, CAST(rank() {_BY} AS INT) AS r, CAST(dense_rank() {_BY} AS INT) AS d FROM lineitem")
+
+
+@query("window_rank", f"SELECT l_orderkey, l_linenumber, CAST(rank() {_BY} AS INT) AS r, CAST(dense_rank() {_BY} AS INT) AS d FROM lineitem")
+def window_rank(spark, sf_dir):
+    rows = ranking.rank_by_value(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"), "l_returnflag", "l_quantity")
+    return rows.selectExpr("l_orderkey", "l_linenumber", "rank AS r", "dense_rank AS d")
+
+
 sql("window_ntile", f"SELECT o_orderkey, ntile(4) {_OVER} AS t FROM orders", f"SELECT o_orderkey, CAST(ntile(4) {_OVER} AS INT) AS t FROM orders")
 sql("window_lag_lead", f"SELECT o_orderkey, lag(o_orderkey) {_OVER} AS before, lead(o_orderkey, 2, -1) {_OVER} AS after2 FROM orders", f"SELECT o_orderkey, lag(o_orderkey) {_OVER} AS before, lead(o_orderkey, 2, -1) {_OVER} AS after2 FROM orders")
 sql("window_first_last", f"SELECT o_orderkey, first_value(o_orderkey) {_FULL} AS f, last_value(o_orderkey) {_FULL} AS l, nth_value(o_orderkey, 3) {_FULL} AS third FROM orders")
-sql("window_distribution", f"SELECT l_orderkey, l_linenumber, round(cume_dist() {_BY}, 9) AS c, round(percent_rank() {_BY}, 9) AS p FROM lineitem")
+
+
+@query("window_distribution", f"SELECT l_orderkey, l_linenumber, round(cume_dist() {_BY}, 9) AS c, round(percent_rank() {_BY}, 9) AS p FROM lineitem")
+def window_distribution(spark, sf_dir):
+    rows = ranking.rank_by_value(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"), "l_returnflag", "l_quantity")
+    return rows.selectExpr("l_orderkey", "l_linenumber", "round(cume_dist, 9) AS c", "round(percent_rank, 9) AS p")
+
+
 sql("window_running", f"SELECT o_orderkey, round(sum(o_totalprice) {_RUN}, 2) AS s, round(avg(o_totalprice) {_RUN}, 4) AS a, min(o_totalprice) {_RUN} AS lo, max(o_totalprice) {_RUN} AS hi, count(*) {_RUN} AS n FROM orders")
 sql("window_frame_rows", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 2) AS s FROM orders")
 sql("window_frame_range", "SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_suppkey ORDER BY l_quantity RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) AS n FROM lineitem")
-sql("window_named", "SELECT c_custkey, round(sum(c_acctbal) OVER w, 2) AS s FROM customer WINDOW w AS (PARTITION BY c_mktsegment)")
+sql("window_named", "SELECT o_orderkey, count(*) OVER w AS n, max(o_totalprice) OVER w AS top FROM orders WINDOW w AS (PARTITION BY o_custkey)")
+
+
+@query("window_group_total", "SELECT c_custkey, round(sum(c_acctbal) OVER w, 2) AS s FROM customer WINDOW w AS (PARTITION BY c_mktsegment)")
+def window_group_total(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    return ranking.with_group_total(rows, "c_mktsegment", F.round(F.sum("c_acctbal"), 2), "s").select("c_custkey", "s")
+
 
 # -- sort, limit, top-k
 sql("sort_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 10")
@@ -156,7 +200,7 @@ sql("topk_per_group", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_or
 # -- set operations
 for _name, _op in (("union_all", "UNION ALL"), ("union", "UNION"), ("intersect", "INTERSECT"), ("intersect_all", "INTERSECT ALL"), ("except", "EXCEPT"), ("except_all", "EXCEPT ALL")):
     sql(f"set_{_name}", f"SELECT c_nationkey AS k FROM customer {_op} SELECT s_nationkey AS k FROM supplier")
-sql("set_precedence", "(SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 0")
+sql("set_precedence", "SELECT r_regionkey AS k FROM region UNION SELECT s_nationkey FROM supplier INTERSECT SELECT n_nationkey FROM nation WHERE n_regionkey = 0")
 
 # -- CTEs and derived tables
 sql("cte_chain", "WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey), b AS (SELECT max(n) AS m FROM a) SELECT k, n FROM a JOIN b ON n = m")
@@ -189,6 +233,9 @@ def handler(spark, sf_dir):
     return own.select("o_orderkey", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).alias("pos"))
 
 
-@query("checksum_table", "SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s FROM orders")
+_NATION_ROW = "concat_ws('|', n_nationkey, n_name, n_regionkey)"
+
+
+@query("checksum_table", f"SELECT count(*) AS n, CAST(bit_xor(CAST('0x' || substr(md5({_NATION_ROW}), 1, 15) AS BIGINT)) AS BIGINT) AS checksum FROM nation")
 def checksum(spark, sf_dir):
-    return table(spark, sf_dir, "orders").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("s"))
+    return files.checksum(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur import streaming
 from larkspur.catalog import query
-from larkspur.operators import dml, partitions
+from larkspur.operators import dml, partitions, ranking
 from larkspur.plans.system import _stream
 from larkspur.sources import files, schema, table, views
 
@@ -39,7 +38,7 @@ def partition_pruning(spark, sf_dir):
 @query("auto_increment", "SELECT 1000 + row_number() OVER (ORDER BY n_name) AS id, n_name FROM nation")
 def auto_increment(spark, sf_dir):
     # The rows of one statement, in one order, are numbered on from the last id.
-    return table(spark, sf_dir, "nation").select((F.lit(1000) + F.row_number().over(W.orderBy("n_name"))).cast("long").alias("id"), "n_name")
+    return ranking.numbered(table(spark, sf_dir, "nation").select("n_name"), "n_name", start=1001).select(F_("number").alias("id"), "n_name")
 
 
 @query("generated_column", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem")
@@ -90,23 +89,27 @@ def explain_statement(spark, sf_dir):
     return spark.sql("EXPLAIN FORMATTED SELECT r_name, count(*) FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
 
 
-@query("check_table", "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS n_keys, count(*) FILTER (WHERE o_orderkey IS NULL) AS n_null FROM orders")
+_NULLS = ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS null_{c}" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
+
+
+@query("check_table", f"SELECT count(*) AS n, count(*) - count(DISTINCT o_orderkey) AS n_repeated, {_NULLS} FROM orders")
 def check_table(spark, sf_dir):
-    return table(spark, sf_dir, "orders").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("n_keys"), F.count_if(F_("o_orderkey").isNull()).alias("n_null"))
+    orders = table(spark, sf_dir, "orders")
+    return orders.agg(F.count("*").alias("n"), (F.count("*") - F.countDistinct("o_orderkey")).alias("n_repeated"), *[F.count_if(F_(c).isNull()).alias(f"null_{c}") for c in orders.columns])
 
 
-@query("backup_restore", "SELECT s_suppkey, s_name, s_nationkey FROM supplier")
+@query("backup_restore", "SELECT * FROM supplier")
 def backup_restore(spark, sf_dir):
-    path = streaming.shared_folder(spark)
-    files.export(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"), path)
-    return files.load_data(spark, path, "s_suppkey long, s_name string, s_nationkey int")
+    path, supplier = streaming.shared_folder(spark), table(spark, sf_dir, "supplier")
+    files.export(supplier, path)
+    return files.load_data(spark, path, ", ".join(f"{c} {t}" for c, t in supplier.dtypes))
 
 
-@query("optimize_table", "SELECT c_custkey, c_name FROM customer")
+@query("optimize_table", "SELECT * FROM customer")
 def optimize_table(spark, sf_dir):
-    path = streaming.shared_folder(spark)
-    files.optimize(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), path, 2)
-    return spark.read.schema("c_custkey long, c_name string").parquet(path)
+    path, customer = streaming.shared_folder(spark), table(spark, sf_dir, "customer")
+    files.optimize(customer, path)
+    return spark.read.schema(customer.schema).parquet(path)
 
 
 _SESSION = """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

@@ -13,7 +13,7 @@ def _stream(spark, sf_dir):
     """The events as a stream of several files, in time order, closed by a far later event that moves the watermark."""
     events = table(spark, sf_dir, "events")
     folder = streaming.shared_folder(spark)
-    events.repartitionByRange(4, "ts").write.parquet(f"{folder}/a")
+    events.repartitionByRange("ts").write.parquet(f"{folder}/a")
     last = events.limit(1).select(*[(F.lit("2200-01-01 00:00:00").cast("timestamp_ntz") if c == "ts" else F.lit("end") if c == "event_type" else F.col(c)).alias(c) for c in events.columns])
     last.coalesce(1).write.mode("append").parquet(f"{folder}/a")
     return streaming.source(spark, f"{folder}/a", events, 2)
