@@ -10,8 +10,8 @@ inclusion probability of one more copy: documents are ranked by random odds over
 (u / (1 - u)) / (p / (1 - p)), and the first of them are taken up to the words that the source still lacks, to the
 nearest document. u is a digest of doc_id and text, so reruns agree, and null or repeated ids draw for themselves.
 
-Where the ranking is cut is found from partial sums over ``BINS`` equal parts of the rank's range; only the one part
-of each source in which the cut falls is sorted. What is joined to the documents has a row for each source and bit
+Where the ranking is cut is found from partial sums over ``BINS`` equal parts of the rank's range and over as many of the
+one in which the cut falls; only the one fine part of each source that holds it is sorted. What is joined to the documents has a row for each source and bit
 length.
 
 A null text has no words; such documents and empty ones are taken with whole copies only, which add nothing.
@@ -30,7 +30,7 @@ from larkspur.llm._text import uniform
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-BINS = 1 << 16
+BINS = 1 << 10
 SEED = "mix"
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -90,11 +90,8 @@ def plan(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_bits = by_bits.withColumn("lacks", F.col("target") - lacks)
     by_bits = save(by_bits.select("source", "bits", "source_size", "target", "certain", "chance", "lacks"), "mix-bits")
     ranked = rank(sized, by_bits).where("chance > 0 and size > 0")
-    per_bin = ranked.groupBy("source", "lacks", "bin").agg(F.sum("size").cast("double").alias("words"))
-    upto = F.sum("words").over(W.partitionBy("source").orderBy("bin"))
-    per_bin = per_bin.withColumn("upto", upto).where("upto > lacks")
-    cut = per_bin.groupBy(F.col("source").alias("c_source")).agg(F.min("bin").alias("cut_bin"), F.min_by(F.col("upto") - F.col("words"), "bin").alias("before"))
-    inside = ranked.join(cut, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("bin") == F.col("cut_bin")))
+    inside = _in_cut(ranked.withColumn("before", F.lit(0.0)), "bin").withColumnRenamed("cut", "cut_bin")
+    inside = _in_cut(inside.withColumn("fine", F.floor((F.col("place") * BINS - F.col("bin")) * BINS).cast("int")), "fine")
     inside = inside.groupBy("source", "place", "doc_id", "size", "before", "lacks", "cut_bin").agg(F.sum("size").alias("words"))
     order = W.partitionBy("source").orderBy("place", "doc_id", "size")
     earlier = F.col("before") + F.coalesce(F.sum("words").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -104,6 +101,16 @@ def plan(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
     return by_bits, save(ends, "mix-cut")
 
 
+def _in_cut(rows: DataFrame, part: str) -> DataFrame:
+    """Of each source the rows in the part of the ranking at whose end the words, with those ``before`` it, go beyond what the
+    source lacks; ``cut`` is that part and ``before`` the words ahead of it. A source has BINS parts at most."""
+    sums = rows.groupBy("source", "lacks", "before", part).agg(F.sum("size").cast("double").alias("words"))
+    upto = F.col("before") + F.sum("words").over(W.partitionBy("source").orderBy(part))
+    over = sums.withColumn("upto", upto).where("upto > lacks")
+    ends = over.groupBy(F.col("source").alias("c_source")).agg(F.min(part).alias("cut"), F.min_by(F.col("upto") - F.col("words"), part).alias("c_before"))
+    return rows.join(ends, F.col("source").eqNullSafe(F.col("c_source")) & (F.col(part) == F.col("cut"))).withColumn("before", F.col("c_before")).drop("c_source", "c_before")
+
+
 def _key() -> Column:
     return F.struct(F.col("place").alias("place"), F.col("doc_id").alias("doc_id"), F.col("size").alias("size"))
 
