@@ -90,8 +90,8 @@ def plan(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_bits = by_bits.withColumn("lacks", F.col("target") - lacks)
     by_bits = save(by_bits.select("source", "bits", "source_size", "target", "certain", "chance", "lacks"), "mix-bits")
     ranked = rank(sized, by_bits).where("chance > 0 and size > 0")
-    inside = _in_cut(ranked.withColumn("before", F.lit(0.0)), "bin").withColumnRenamed("cut", "cut_bin")
-    inside = _in_cut(inside.withColumn("fine", F.floor((F.col("place") * BINS - F.col("bin")) * BINS).cast("int")), "fine")
+    coarse = _in_cut(ranked.withColumn("before", F.lit(0.0)).withColumn("wide", F.floor(F.col("bin") / BINS)), "wide").drop("cut")
+    inside = _in_cut(coarse, "bin").withColumnRenamed("cut", "cut_bin")
     inside = inside.groupBy("source", "place", "doc_id", "size", "before", "lacks", "cut_bin").agg(F.sum("size").alias("words"))
     order = W.partitionBy("source").orderBy("place", "doc_id", "size")
     earlier = F.col("before") + F.coalesce(F.sum("words").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -122,7 +122,7 @@ def rank(sized: DataFrame, by_bits: DataFrame) -> DataFrame:
     u, p = F.col("draw"), F.col("chance")
     odds = F.try_divide(u / (1 - u), p / (1 - p))
     place = F.when(p > 0, odds / (1 + odds))
-    return rows.withColumn("place", place).withColumn("bin", F.floor(F.col("place") * BINS).cast("int"))
+    return rows.withColumn("place", place).withColumn("bin", F.floor(F.col("place") * BINS * BINS).cast("int"))
 
 
 def _with_copies(rows: DataFrame, by_bits: DataFrame, ends: DataFrame) -> DataFrame:
