@@ -22,9 +22,8 @@ MIN_LENGTH = 2
 
 def tokens(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """Runs of letters and digits in lower case, without short words and stopwords."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1)
-    stop = F.array(*map(F.lit, stopwords))
-    return F.filter(words, lambda w: (F.char_length(w) >= MIN_LENGTH) & ~F.array_contains(stop, w))
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"[\p{{L}}\p{{N}}]{{{MIN_LENGTH},}}+"), 0)
+    return F.filter(words, lambda w: ~w.isin(*stopwords))  # a hash lookup for each word
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -33,14 +32,9 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return words.select("id", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
 
 
-def token_pattern(stopwords: tuple[str, ...] = STOPWORDS) -> str:
-    """A pattern whose matches in lower-case text are the tokens: one regular expression instead of an array of words."""
-    stop = "|".join(stopwords)
-    return rf"(?<![\p{{L}}\p{{N}}])(?!(?:{stop})(?![\p{{L}}\p{{N}}]))[\p{{L}}\p{{N}}]{{{MIN_LENGTH},}}+"
-
-
 def occurrences(lower: Column, term: str) -> Column:
-    return F.regexp_count(lower, F.lit(rf"(?<![\p{{L}}\p{{N}}]){term}(?![\p{{L}}\p{{N}}])"))
+    """How often a token stands in lower-case text; what is around it is looked at only where its letters are."""
+    return F.regexp_count(lower, F.lit(rf"{term}(?<![\p{{L}}\p{{N}}]{term})(?![\p{{L}}\p{{N}}])"))
 
 
 def terms_of(spark: SparkSession, query: str) -> list[str]:
@@ -55,12 +49,12 @@ def search(docs: DataFrame, id_col: str, text_col: str, query: str, mode: str =
     if not wanted:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
     lower = F.lower(F.col(text_col))
-    held = docs.where(lower.rlike("|".join(wanted))).select(F.col(id_col).alias("id"), lower.alias("text"))
+    held = docs.where(reduce(operator.or_, [lower.contains(t) for t in wanted])).select(F.col(id_col).alias("id"), lower.alias("text"))
     tf = held.select("id", "text", *[occurrences(F.col("text"), t).alias(f"tf_{i}") for i, t in enumerate(wanted)])
     counts = tf.agg(*[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(wanted))]).join(docs.agg(F.count("*").alias("n_docs")), F.lit(True))
     hit = [F.col(f"tf_{i}") > 0 for i in range(len(wanted))]
     tf = tf.where(reduce(operator.and_ if mode == "and" else operator.or_, hit))
-    length = F.regexp_count("text", F.lit(token_pattern()))
+    length = F.size(tokens(F.col("text")))
     rows = tf.withColumn("length", length).drop("text").join(counts, F.lit(True))
     parts = [F.when(hit[i], F.col(f"tf_{i}") / F.col("length") * F.ln(F.col("n_docs") / F.col(f"df_{i}"))).otherwise(0.0) for i in range(len(wanted))]
     out = rows.select("id", sum(parts[1:], parts[0]).alias("score"))
@@ -81,5 +75,5 @@ def match_against(text: Column, query_terms: list[str], boolean: bool = False) -
     lower = F.lower(F.coalesce(text, F.lit("")))
     counts = [occurrences(lower, t) for t in query_terms]
     some = reduce(operator.and_ if boolean else operator.or_, [n > 0 for n in counts])
-    length = F.regexp_count(lower, F.lit(token_pattern()))
+    length = F.size(tokens(text))
     return F.when(some, sum(counts[1:], counts[0]) / F.greatest(length, F.lit(1)) / len(query_terms)).otherwise(0.0)
