@@ -30,6 +30,7 @@ MOST_LANGUAGES = 1000
 SMOOTHING = 0.5
 ROUNDS = 12
 PENALTY = 4.0
+#: Letters and a few numerals that are no digits; ``has_letter`` tells them apart.
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
@@ -58,6 +59,10 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bucket[inside].astype(np.int64), first, np.searchsorted(word_at, offsets)
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
     """Languages and, for each, the log probability of each bucket; from every row with a language and a text."""
 
@@ -146,7 +151,7 @@ def predict(docs: DataFrame, names: list[str], model: np.ndarray, id_col: str =
                 lang, score, mixture = [], [], []
                 for value, share in zip(part, shares, strict=True):
                     text = value.as_py()
-                    if not text or not share.any() or not _LETTER.search(text):
+                    if not text or not share.any() or not has_letter(text):
                         lang.append("und")
                         score.append(0.0)
                         mixture.append("")

@@ -17,6 +17,7 @@ share one fate, at the cut as well. An empty table gives an empty one; other col
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm._counts import class_counts
-from larkspur.llm._store import read_table, save, ship
+from larkspur.llm._store import drop, read_table, save, ship
 from larkspur.llm._text import raw_bytes, slices, uniform, window_hashes, word_hashes
 
 BUCKETS = 1 << 16
@@ -128,10 +129,18 @@ def keep_largest(rows: DataFrame, key: str, k: int, tie: str) -> DataFrame:
 
 
 def texts_like_targets(scored: DataFrame, targets: DataFrame, id_col: str = "doc_id") -> int:
-    """The number of texts whose ratio is no more than MARGIN below that of the lowest TAIL of the target texts."""
+    """The number of texts whose ratio is no more than MARGIN below that of the lowest TAIL of the target texts: an exact
+    quantile, so k does not depend on how rows are dealt out."""
     goal = targets.select(F.col(id_col).alias("target_id")).distinct()
-    floor = scored.join(goal, F.col("doc_id") == F.col("target_id"), "left_semi").agg(F.percentile_approx("log_ratio", TAIL, 10000)).first()[0]
-    return scored.where(F.col("log_ratio").isNotNull() if floor is None else F.col("log_ratio") >= F.lit(floor - MARGIN)).count()
+    present = scored.where(F.col("log_ratio").isNotNull())
+    seen = save(present.join(goal, F.col("doc_id") == F.col("target_id"), "left_semi").select("log_ratio"), "target-ratios")
+    n = seen.count()
+    if n:
+        low, high, need, _ = _narrowed(seen, "log_ratio", math.ceil(TAIL * n), False)
+        floor = low if low == high else seen.where(F.col("log_ratio").between(low, high)).orderBy("log_ratio").offset(need - 1).first()[0]
+        present = present.where(F.col("log_ratio") >= F.lit(floor - MARGIN))
+    drop(seen)
+    return present.count()
 
 
 def resample(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: str = "gumbel", k: int | float | None = None, temper: float = TEMPER) -> DataFrame:

@@ -460,9 +460,10 @@ def test_language(spark):
     train = spark.createDataFrame([(i, text(k, 80), k) for i, k in enumerate("aa bb cc".split() * 20)], "doc_id long, text string, lang string")
     names, model = language.learn(train)
     assert names == ["aa", "bb", "cc"]
-    test = [(1, text("aa", 60)), (2, text("bb", 60)), (3, text("aa", 70) + " " + text("cc", 30)), (4, None), (5, ""), (6, "123 456"), (7, text("cc", 5))]
+    test = [(1, text("aa", 60)), (2, text("bb", 60)), (3, text("aa", 70) + " " + text("cc", 30)), (4, None), (5, ""), (6, "123 456"), (7, text("cc", 5)), (8, "\u00b2 \u00bd ___"), (9, "\u5b57")]
     got = {r.doc_id: r for r in language.predict(spark.createDataFrame(test, "doc_id long, text string"), names, model).collect()}
     assert [got[i].lang_pred for i in range(1, 8)] == ["aa", "bb", "aa", "und", "und", "und", "cc"]
+    assert got[8].lang_pred == "und" != got[9].lang_pred
     assert got[1].mixture == "aa:1.000" and 0.6 < got[3].score < 0.8 and got[3].mixture.startswith("aa:0.7") and got[4].score == 0
     assert language.learn(train.where("false"))[0] == []
     assert language.predict(train, *language.learn(train.where("false"))).where("lang_pred != 'und'").count() == 0
@@ -529,6 +530,22 @@ def test_inclusion_follows_the_weights(spark):
     assert abs(np.mean(heavy) - np.mean(want)) < 0.3 and len(set(heavy)) > 3
 
 
+@pytest.mark.parametrize("most", [100_000, 3])
+def test_k_is_counted_from_the_exact_quantile(spark, monkeypatch, most):
+    monkeypatch.setattr(resampling, "SORT_MOST", most)
+    monkeypatch.setattr(resampling, "BINS", 7)
+    monkeypatch.setattr(resampling, "TAIL", 0.2)
+    r = random.Random(7)
+    ratios = [(i, r.choice([None, 0.5, 0.25, r.uniform(-2, 1)])) for i in range(200)]
+    goal = spark.createDataFrame([(i,) for i in range(0, 200, 3)] + [(0,), (None,)], "doc_id long")
+    own = sorted(v for i, v in ratios if i % 3 == 0 and v is not None)
+    floor = own[math.ceil(0.2 * len(own)) - 1] - resampling.MARGIN
+    for parts in (1, 9):
+        scored = spark.createDataFrame(ratios, "doc_id long, log_ratio double").repartition(parts)
+        assert resampling.texts_like_targets(scored, goal) == sum(v is not None and v >= floor for _, v in ratios)
+    assert resampling.texts_like_targets(scored, goal.where("false")) == sum(v is not None for _, v in ratios)
+
+
 def test_k_and_seed_are_parameters(spark):
     rows = spark.createDataFrame([(i, words(60, i, 50)) for i in range(100)], "doc_id long, text string")
     goal = spark.createDataFrame([(i,) for i in range(50)], "doc_id long")
