@@ -12,7 +12,7 @@ FLAGSHIP = "q01_pricing_summary"
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("relational", "functions", "tables", "system", "keyvalue", "statements", "commands", "routines", "ddl")
+_MODULES = ("relational", "functions", "tables", "system", "keyvalue", "statements", "commands", "routines", "ddl", "objects")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:

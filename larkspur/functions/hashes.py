@@ -81,6 +81,11 @@ def random_bytes(n: int) -> Column:
     return F.arrow_udf(run, "binary")(F.rand())
 
 
+def uuid_short() -> Column:
+    """64-bit numbers that differ within a query."""
+    return F.monotonically_increasing_id()
+
+
 def is_uuid(s: Column) -> Column:
     return s.rlike(r"(?i)^(\{[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\}|[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9a-f]{32})$").cast("int")
 

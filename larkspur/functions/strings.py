@@ -149,3 +149,15 @@ def substring_index(s: Column, delimiter: str, n: int) -> Column:
 
 def like(s: Column, pattern: str) -> Column:
     return s.ilike(pattern)
+
+
+def charset(s: Column) -> Column:
+    return F.when(s.isNull(), "binary").otherwise("utf8mb4")
+
+
+def collation(s: Column) -> Column:
+    return F.when(s.isNull(), "binary").otherwise("utf8mb4_general_ci")
+
+
+def coercibility(s: Column) -> Column:
+    return F.lit(2)

@@ -110,6 +110,25 @@ def ttl(t: DataFrame, now: Column, wanted: DataFrame) -> DataFrame:
     return left.select("key", seconds.cast("long").alias("ttl"))
 
 
+def select(t: DataFrame, index: int, db: str = "db") -> DataFrame:
+    """SELECT: the keys of one of the databases that a table holds."""
+    return t.where(F.col(db) == index).drop(db)
+
+
+def flushdb(t: DataFrame, index: int, db: str = "db") -> DataFrame:
+    return t.where(F.col(db) != index)
+
+
+def flushall(t: DataFrame) -> DataFrame:
+    return t.limit(0)
+
+
+def time() -> Column:
+    """TIME: (seconds, microseconds) of the query's start."""
+    micros = F.unix_micros(F.current_timestamp())
+    return F.struct(F.floor(micros / 1_000_000).alias("seconds"), F.pmod(micros, F.lit(1_000_000)).alias("micros"))
+
+
 # -- strings and hashes -----------------------------------------------------------------------------------------
 def put(t: DataFrame, rows: DataFrame, ids: list[str], only: str | None = None, order: Column | None = None) -> DataFrame:
     """SET, MSET, HSET, HMSET: rows take the place of those with their ids. ``nx`` only adds, ``xx`` only changes. Of several
@@ -168,6 +187,15 @@ def expiretime(t: DataFrame, wanted: DataFrame) -> DataFrame:
     return left.select("key", F.when(F.col("there").isNull(), -2).when(F.col("expire_at").isNull(), -1).otherwise(F.floor(F.unix_micros(F.col("expire_at").cast("timestamp")) / 1000000)).cast("long").alias("at"))
 
 
+def hpexpire(t: DataFrame, wanted: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """HPEXPIRE, HEXPIRE: wanted: (key, field). (the table afterwards, 1 for each field that is there, -2 for others)."""
+    rows = wanted.select("key", "field").distinct()
+    hit = t.join(rows.withColumn("_hit", F.lit(True)), ["key", "field"], "left")
+    after = hit.withColumn("field_expire_at", F.when(F.col("_hit"), at).otherwise(F.col("field_expire_at"))).select(*t.columns)
+    there = t.select("key", "field", F.lit(1).alias("_there")).distinct()
+    return after, rows.join(there, ["key", "field"], "left").select("key", "field", F.coalesce("_there", F.lit(-2)).alias("done"))
+
+
 def hexists(t: DataFrame, wanted: DataFrame) -> DataFrame:
     there = t.select("key", "field", F.lit(1).alias("there")).distinct()
     return wanted.join(there, ["key", "field"], "left").select("key", "field", F.coalesce("there", F.lit(0)).alias("there"))
@@ -383,6 +411,53 @@ def xpending_summary(pending: DataFrame) -> DataFrame:
     return pending.groupBy("key", "grp", "consumer").agg(F.count("*").alias("n"), F.min(F.struct("ms", "seq")).alias("first"), F.max(F.struct("ms", "seq")).alias("last")).select("key", "grp", "consumer", "n", F.col("first.ms").alias("first_ms"), F.col("last.ms").alias("last_ms"))
 
 
+def _last_of(t: DataFrame) -> DataFrame:
+    return t.groupBy("key").agg(F.max(_entry()).alias("_top")).select("key", F.col("_top.ms").alias("_ms"), F.col("_top.seq").alias("_seq"))
+
+
+def xgroup_create(groups: DataFrame, t: DataFrame, grp: str, after: tuple[int, int] | None = None) -> DataFrame:
+    """groups: (key, grp, last_ms, last_seq). XGROUP CREATE for each key of a stream, from an id on or, without one, from the
+    newest entry; a group that is there stays as it is."""
+    at = lambda i, own: F.col(own) if after is None else F.lit(after[i]).cast("long")
+    new = _last_of(t).select("key", F.lit(grp).alias("grp"), at(0, "_ms").alias("last_ms"), at(1, "_seq").alias("last_seq"))
+    return groups.unionByName(new.join(groups.select("key", "grp"), ["key", "grp"], "left_anti"))
+
+
+def xgroup_setid(groups: DataFrame, t: DataFrame, grp: str, after: tuple[int, int] | None = None) -> DataFrame:
+    """XGROUP SETID of a group of each key; groups of streams that are not there stay."""
+    rows = groups.join(_last_of(t), "key", "left")
+    hit = (F.col("grp") == grp) & F.col("_ms").isNotNull()
+    at = lambda i, own: F.col(own) if after is None else F.lit(after[i]).cast("long")
+    return rows.select("key", "grp", F.when(hit, at(0, "_ms")).otherwise(F.col("last_ms")).alias("last_ms"), F.when(hit, at(1, "_seq")).otherwise(F.col("last_seq")).alias("last_seq"))
+
+
+def xgroup_destroy(groups: DataFrame, grp: str) -> DataFrame:
+    return groups.where(F.col("grp") != grp)
+
+
+def xreadgroup(t: DataFrame, groups: DataFrame, grp: str, consumer: str, count: int, now_ms: Column) -> tuple[DataFrame, DataFrame]:
+    """XREADGROUP with ">": (the entries given as pending ones, the groups afterwards): the next ``count`` of each key."""
+    own = groups.where(F.col("grp") == grp).select("key", F.struct(F.col("last_ms").alias("ms"), F.col("last_seq").alias("seq")).alias("_after"))
+    new = t.join(own, "key").where(_entry() > F.col("_after")).withColumn("_r", F.row_number().over(W.partitionBy("key").orderBy("ms", "seq"))).where(F.col("_r") <= count)
+    given = new.select("key", F.lit(grp).alias("grp"), "ms", "seq", F.lit(consumer).alias("consumer"), now_ms.cast("long").alias("delivered_at"), F.lit(1).alias("deliveries"))
+    rows = groups.join(_last_of(given), "key", "left")
+    hit = (F.col("grp") == grp) & F.col("_ms").isNotNull()
+    return given, rows.select("key", "grp", F.when(hit, F.col("_ms")).otherwise(F.col("last_ms")).alias("last_ms"), F.when(hit, F.col("_seq")).otherwise(F.col("last_seq")).alias("last_seq"))
+
+
+def xack(pending: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """ids: (key, grp, ms, seq). (what is pending still, (key, grp, n) of the entries acknowledged)."""
+    by = ["key", "grp", "ms", "seq"]
+    done = pending.join(ids.select(*by), by, "left_semi").groupBy("key", "grp").agg(F.count("*").alias("n"))
+    return xpending(pending, ids.select(*by)), done
+
+
+def xsetid(last: DataFrame, ids: DataFrame) -> DataFrame:
+    """last: (key, ms, seq), the newest id of each stream; ids: the same, one for a key. Of streams that are there it is set."""
+    new = ids.select("key", F.col("ms").alias("_ms"), F.col("seq").alias("_seq"))
+    return last.join(new, "key", "left").select("key", F.coalesce("_ms", "ms").alias("ms"), F.coalesce("_seq", "seq").alias("seq"))
+
+
 def xclaim(pending: DataFrame, consumer: str, idle_ms: int, now_ms: Column) -> DataFrame:
     """Entries idle for so long change hands."""
     idle = now_ms - F.col("delivered_at") >= idle_ms
@@ -450,6 +525,11 @@ def geoadd(t: DataFrame, rows: DataFrame) -> DataFrame:
     return put(t, fit, ["key", "member"])
 
 
+def geopos(t: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, member, lon, lat): null for members that are not there."""
+    return wanted.join(t.select("key", "member", "lon", "lat"), ["key", "member"], "left")
+
+
 def geodist(a_lon: Column, a_lat: Column, b_lon: Column, b_lat: Column, unit: str = "m") -> Column:
     return haversine(a_lon, a_lat, b_lon, b_lat) / GEO_UNITS[unit]
 

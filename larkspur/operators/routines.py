@@ -99,6 +99,14 @@ class Routines:
             raise RoutineError(f"no procedure {name}")
         return self.spark.sql(_script(self.held[name.lower()], list(arguments)))
 
+    def show_create(self, name: str) -> DataFrame:
+        """SHOW CREATE PROCEDURE: (procedure, create_procedure), a text that creates it again."""
+        if name.lower() not in self.held:
+            raise RoutineError(f"no procedure {name}")
+        p = self.held[name.lower()]
+        text = f"CREATE PROCEDURE {p.name}({', '.join(f'{x.mode} {x.name} {x.kind}' for x in p.parameters)}) {p.body}"
+        return self.spark.createDataFrame([(p.name, text)], "procedure string, create_procedure string")
+
     def show(self) -> DataFrame:
         """SHOW PROCEDURE STATUS and information_schema.routines and parameters in one."""
         rows = [(p.name, "PROCEDURE", i, x.name, x.mode, x.kind) for p in self.held.values() for i, x in enumerate(p.parameters, 1)]
@@ -127,6 +135,11 @@ class Triggers:
         for key, actions in self.held.items():
             self.held[key] = [(n, a) for n, a in actions if n != name]
 
+    def show(self, spark: SparkSession) -> DataFrame:
+        """SHOW TRIGGERS: (trigger, event, timing) in the order in which those of one time and event act."""
+        rows = [(name, event.upper(), time.upper()) for (time, event), actions in self.held.items() for name, _ in actions]
+        return spark.createDataFrame(rows, "trigger string, event string, timing string")
+
     def _before(self, event: str, rows: DataFrame) -> DataFrame:
         for _, action in self.held.get(("before", event), []):
             rows = action(rows)

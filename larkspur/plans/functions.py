@@ -149,7 +149,11 @@ OTHERS = [
     ("st_contains", lambda: G.contains(F.lit("POLYGON((0 0, 20 0, 20 20, 0 20, 0 0))"), G.point(c("p_size").cast("double") + 0.5, F.lit(7.5))), "p_size + 0.5 < 20"),
     ("st_within", lambda: G.within(G.point(c("p_size").cast("double") + 0.5, F.lit(7.5)), F.lit("POLYGON((0 0, 20 0, 20 20, 0 20, 0 0))")), "p_size + 0.5 < 20"),
     ("st_geomfromtext", lambda: G.from_text(F.concat(F.lit(" point( "), c("p_size").cast("string"), F.lit("   2.5 )"))), "'POINT(' || p_size || ' 2.5)'"),
-    ("charset", lambda: F.when(c("p_name").isNotNull(), "utf8mb4"), "CASE WHEN p_name IS NOT NULL THEN 'utf8mb4' END"),
+    ("charset", lambda: S.charset(F.nullif(c("p_size"), F.lit(7)).cast("string")), "CASE WHEN p_size = 7 THEN 'binary' ELSE 'utf8mb4' END"),
+    ("collation", lambda: S.collation(F.nullif(c("p_size"), F.lit(7)).cast("string")), "CASE WHEN p_size = 7 THEN 'binary' ELSE 'utf8mb4_general_ci' END"),
+    ("coercibility", lambda: S.coercibility(c("p_name")), "2"),
+    ("uuid_short", lambda: (H.uuid_short() >= 0).cast("int"), "1"),
+    ("session_user", lambda: F.expr("session_user()"), None),
     ("cast_decimal", lambda: c("p_retailprice").cast("string").try_cast("decimal(12,1)").cast("double"), "CAST(TRY_CAST(CAST(p_retailprice AS VARCHAR) AS DECIMAL(12, 1)) AS DOUBLE)"),
     ("cast_date", lambda: F.concat(F.lit("2024-01-"), F.lpad(c("p_size").cast("string"), 2, "0")).try_cast("date"), "TRY_CAST('2024-01-' || lpad(CAST(p_size AS VARCHAR), 2, '0') AS DATE)"),
     ("cast_char", lambda: F.substring(c("p_name"), 1, 5), "substr(p_name, 1, 5)"),
